@@ -18,6 +18,14 @@ cut(rec_id, n, bs, piece_no, s, e) AS (
   FROM cut WHERE e < n)"""
 
 SQL = {
+    "p2_found": """WITH s AS (SELECT DISTINCT taxid, ctx FROM group_sketch WHERE taxid IS NOT NULL AND ctx IS NOT NULL),
+z AS (SELECT taxid, count(*) AS k FROM s GROUP BY taxid),
+p AS (SELECT a.taxid AS x_id, b.taxid AS y_id, count(*) AS n FROM s a JOIN s b ON a.ctx = b.ctx AND a.taxid < b.taxid GROUP BY 1, 2)
+SELECT x_id, y_id FROM p JOIN z a ON a.taxid = x_id JOIN z b ON b.taxid = y_id WHERE 2 * n >= least(a.k, b.k)""",
+    "p4_found": """WITH s AS (SELECT DISTINCT ctxgid & 1048575 AS g, ctxgid >> 20 AS ctx, obj FROM sketch WHERE ctxgid IS NOT NULL AND obj IS NOT NULL),
+z AS (SELECT g, count(*) AS k FROM s GROUP BY g),
+p AS (SELECT a.g AS x, b.g AS y, count(*) AS n FROM s a JOIN s b ON a.ctx = b.ctx AND a.obj = b.obj AND a.g < b.g GROUP BY 1, 2)
+SELECT CAST(x AS INTEGER) AS genome_a, CAST(y AS INTEGER) AS genome_b FROM p JOIN z a ON a.g = x JOIN z b ON b.g = y WHERE 3 * n >= a.k + b.k""",
     "p5_found": f"WITH RECURSIVE {_PIECES} SELECT rec_id, piece_no, s AS start_pos, e AS end_pos FROM cut",
     "p5_pieces": f"""WITH RECURSIVE {_PIECES},
 names AS (SELECT rec_id, arg_max(name, (loaded_at, name)) FILTER (trim(name) <> '' AND loaded_at IS NOT NULL) AS name FROM command_sketch GROUP BY rec_id)

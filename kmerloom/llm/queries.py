@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kmerloom.llm import oracle
 from kmerloom.llm.components import connected_groups
 from kmerloom.llm.genomes import matches
+from kmerloom.llm.overlap_sizes import contained_pairs, overlap_sizes, register_sketches
+from kmerloom.llm.similar_pairs import similar_pairs
 from kmerloom.llm.splitting import split_oversized
 
 
@@ -21,6 +23,31 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select(F.col("vertex").cast("int").alias("genome_id"), F.col("group").cast("int").alias("group_id"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of groups that share at least half of the smaller one's contexts."""
+    return contained_pairs(_table(spark, folder, "group_sketch"), "taxid", "ctx").select(F.col("x").alias("x_id"), F.col("y").alias("y_id"))
+
+
+def p2_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Estimated sizes and overlap for every pair of groups that was ever reported."""
+    listed = _table(spark, folder, "group_dist").where("x_id <> y_id").select(F.least("x_id", "y_id").alias("x_id"), F.greatest("x_id", "y_id").alias("y_id")).distinct()
+    sizes = overlap_sizes(listed, register_sketches(_table(spark, folder, "group_sketch"), "taxid", "ctx"), "x_id", "y_id")
+    return sizes.select("x_id", "y_id", F.round("x_size").cast("bigint").alias("x_size"), F.round("y_size").cast("bigint").alias("y_size"), F.round("xny").cast("bigint").alias("xny_ctx"), F.round("xny_error", 1).alias("xny_error"))
+
+
+def _values(spark: SparkSession, folder: str) -> DataFrame:
+    """(genome, value) with the 44 bits of the context and the 20 of the object in one number."""
+    low = F.lit((1 << 20) - 1).cast("bigint")
+    key = F.col("ctxgid")
+    return _table(spark, folder, "sketch").select(key.bitwiseAND(low).alias("genome"), key.bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("obj").cast("bigint").bitwiseAND(low)).alias("value"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of genomes that have at least half of their values in common."""
+    pairs = similar_pairs(_values(spark, folder), "genome", "value", 0.5)
+    return pairs.select(F.col("a").cast("int").alias("genome_a"), F.col("b").cast("int").alias("genome_b"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Cuts of the sequence records with more than 5,000 letters."""
     return split_oversized(_table(spark, folder, "command_sketch"), "rec_id", "seq").drop("piece")
@@ -35,5 +62,5 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.join(names, "rec_id", "left").select("rec_id", "name", "piece_no", "start_pos", "end_pos", "piece")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
 SQL = oracle.SQL
