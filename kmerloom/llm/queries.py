@@ -7,9 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from kmerloom.llm import oracle
 from kmerloom.llm.components import connected_groups
 from kmerloom.llm.genomes import matches
+from kmerloom.llm.mixing import mixture, reached_shares
 from kmerloom.llm.overlap_sizes import contained_pairs, overlap_sizes, register_sketches
+from kmerloom.llm.packing import pack
 from kmerloom.llm.similar_pairs import similar_pairs
 from kmerloom.llm.splitting import split_oversized
+from kmerloom.llm.tokens import with_token_counts
+from kmerloom.session import Scratch
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,5 +66,25 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.join(names, "rec_id", "left").select("rec_id", "name", "piece_no", "start_pos", "end_pos", "piece")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces}
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all messages, stored, as every later step reads them."""
+    return Scratch(spark, "tokens").keep(with_token_counts(_table(spark, folder, "documents"), "doc_id", "text", "source"), "sizes")
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """All messages in containers of 2,048 tokens."""
+    return pack(_sizes(spark, folder), 2048).withColumnRenamed("id", "doc_id")
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of the messages, mixed to the sources' target shares."""
+    return mixture(_sizes(spark, folder), _table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the mixture reaches, and how often its most used block occurs."""
+    return reached_shares(p7_mixture(spark, folder), _table(spark, folder, "mix_targets"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
 SQL = oracle.SQL
