@@ -10,6 +10,7 @@ from kmerloom.llm.genomes import matches
 from kmerloom.llm.mixing import mixture, reached_shares
 from kmerloom.llm.overlap_sizes import contained_pairs, overlap_sizes, register_sketches
 from kmerloom.llm.packing import pack
+from kmerloom.llm.sentences import sentences
 from kmerloom.llm.similar_pairs import similar_pairs
 from kmerloom.llm.splitting import split_oversized
 from kmerloom.llm.tokens import with_token_counts
@@ -86,5 +87,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(p7_mixture(spark, folder), _table(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Ends of sentences that another sentence follows in the same paragraph."""
+    return sentences(_table(spark, folder, "documents"), "doc_id", "text").where("followed").select("doc_id", "end_char")
+
+
+def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """All sentences with their texts."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = sentences(docs, "doc_id", "text").join(docs, "doc_id")
+    return found.select("doc_id", "paragraph_no", "sentence_no", "start_char", "end_char", F.expr("substr(text, cast(start_char + 1 as int), cast(end_char - start_char + 1 as int))").alias("sentence"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = oracle.SQL
