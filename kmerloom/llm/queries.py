@@ -94,9 +94,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """All sentences with their texts."""
-    docs = _table(spark, folder, "documents").select("doc_id", "text")
-    found = sentences(docs, "doc_id", "text").join(docs, "doc_id")
-    return found.select("doc_id", "paragraph_no", "sentence_no", "start_char", "end_char", F.expr("substr(text, cast(start_char + 1 as int), cast(end_char - start_char + 1 as int))").alias("sentence"))
+    return sentences(_table(spark, folder, "documents"), "doc_id", "text", with_text=True).drop("followed")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}

@@ -261,11 +261,11 @@ def message_sentences(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
-def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, paragraph_no, sentence_no, start_char, end_char, followed): every sentence of every message.
+def sentences(docs: DataFrame, key: str, text: str, with_text: bool = False) -> DataFrame:
+    """(key, paragraph_no, sentence_no, start_char, end_char, followed, sentence): every sentence of every message.
 
     end_char is the 0-based place of the sentence's last letter; followed says that another one follows in its
-    paragraph. A null or empty text has no sentences. Keys need not be unique; other columns are ignored.
+    paragraph; sentence is null unless ``with_text``. A null or empty text has no sentences. Keys need not be unique; other columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -273,15 +273,16 @@ def sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             index, rows = [], []
             for i, cell in enumerate(batch.column(1)):
-                found = message_sentences(cell.as_py())
+                whole = cell.as_py()
+                found = message_sentences(whole)
                 for n, (p, a, b) in enumerate(found):
                     index.append(i)
-                    rows.append((p, n, a, b, n + 1 < len(found) and found[n + 1][0] == p))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+                    rows.append((p, n, a, b, n + 1 < len(found) and found[n + 1][0] == p, whole[a : b + 1] if with_text else None))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "paragraph_no", "sentence_no", "start_char", "end_char", "followed"]
+                [batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["key", "paragraph_no", "sentence_no", "start_char", "end_char", "followed", "sentence"]
             )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, paragraph_no int, sentence_no int, start_char bigint, end_char bigint, followed boolean").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, paragraph_no int, sentence_no int, start_char bigint, end_char bigint, followed boolean, sentence string").withColumnRenamed("key", key)
