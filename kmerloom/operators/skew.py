@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, functions as F
 HOT_SHARE = 1 / 1000
 
 
-def hot_left_join(left: DataFrame, right: DataFrame, key: str, right_key: str, left_rows: int, hot_share: float = HOT_SHARE) -> DataFrame:
+def hot_left_join(left: DataFrame, right: DataFrame, key: str, right_key: str, left_rows: int | None = None, hot_share: float = HOT_SHARE) -> DataFrame:
     """``left`` LEFT JOIN ``right`` ON left.key = right.right_key; ``right_key`` is unique in ``right`` and is dropped.
 
     Rows of hot keys meet a broadcast of the few right rows they need (at most ``1 / hot_share`` of them, by
     construction), the others are joined by shuffle, so no task receives a hot key's rows. Rows with a null key
     are kept with nulls. ``left`` is read twice and should be a stored table.
     """
-    least = max(1, int(left_rows * hot_share))
-    hot = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).count().where(F.col("count") > least).select("__hot")
+    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).count()
+    if left_rows is None:
+        counts = counts.join(F.broadcast(counts.agg(F.sum("count").alias("__all"))))  # one row
+        hot = counts.where((F.col("count") > 1) & (F.col("count") > F.col("__all") * hot_share)).select("__hot")
+    else:
+        hot = counts.where(F.col("count") > max(1, int(left_rows * hot_share))).select("__hot")
     hot_right = right.join(F.broadcast(hot), right[right_key] == hot["__hot"], "left_semi")
     marked = left.join(F.broadcast(hot), left[key] == hot["__hot"], "left")
     names = [c for c in right.columns if c != right_key]
