@@ -107,7 +107,8 @@ def mixture(sizes: DataFrame, targets: DataFrame, block_tokens: int = 256, shard
     slots = spark.range(0, shards, 1, max(1, min(shards, 10_000))).mapInPandas(draw, SLOTS)
     names = F.broadcast(spark.createDataFrame([(i, x["source"]) for i, x in enumerate(held)], "s int, source string"))
     blocks = _blocks(scratch, known.join(names, "source"), block_tokens, sum(x["records"] for x in held))
-    return slots.join(blocks, ["s", "block_no"]).join(names, "s").select("shard", "slot", "source", "epoch", "block_no", "n_tokens", "spans")
+    # the optimiser takes the slots for as few as the shards that they are drawn from
+    return slots.join(blocks.hint("merge"), ["s", "block_no"]).join(names, "s").select("shard", "slot", "source", "epoch", "block_no", "n_tokens", "spans")
 
 
 def _blocks(scratch: Scratch, known: DataFrame, block_tokens: int, records: int) -> DataFrame:
