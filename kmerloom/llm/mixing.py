@@ -67,12 +67,13 @@ def mixture(sizes: DataFrame, targets: DataFrame, block_tokens: int = 256, shard
 
     ``sizes`` has id, source and n_tokens; ``targets`` source, target_share and max_repeats, one row per source. The
     mixture is as large as the caps allow, or ``total_tokens`` if that is less. Sources without tokens, target or a
-    positive share are left out and the other shares scaled to 1. No block, so no token of a record, occurs more than
+    positive share are left out and the other shares scaled to 1; other columns are ignored. No block, so no token of a record, occurs more than
     max_repeats times; occurrences of a source's blocks differ by one at most. Without any source the result is empty.
     """
     kind = sizes.schema["id"].dataType.simpleString()
-    scratch = Scratch(sizes.sparkSession, "mixing")
     spark = sizes.sparkSession
+    scratch = Scratch(spark, "mixing")
+    sizes = sizes.select("id", "source", "n_tokens")
     goals = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
     known = scratch.keep(sizes.where("n_tokens > 0").join(F.broadcast(goals.select("source")), "source", "left_semi"), "sizes")
     # one row per listed source: as bounded as the list of targets
@@ -134,5 +135,5 @@ def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     uses = mixed.groupBy("source", "block_no").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("uses"))
     sums = uses.groupBy("source").agg(F.sum("n").alias("n_tokens"), F.max("uses").alias("most_repeats"))
     everything = Window.partitionBy()
-    out = targets.join(sums, "source", "left").fillna(0, ["n_tokens", "most_repeats"])
+    out = targets.select("source", "target_share", "max_repeats").join(sums, "source", "left").fillna(0, ["n_tokens", "most_repeats"])
     return out.select("source", "target_share", (F.col("n_tokens") / F.greatest(F.sum("n_tokens").over(everything), F.lit(1))).alias("actual_share"), "n_tokens", "most_repeats", "max_repeats")

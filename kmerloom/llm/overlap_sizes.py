@@ -154,10 +154,12 @@ def joint_estimate(counts: np.ndarray, p: int, rounds: int = 40) -> tuple[np.nda
 
 
 def overlap_sizes(pairs: DataFrame, sketches: DataFrame, x: str = "x", y: str = "y", p: int = P, batch: int = 2000) -> DataFrame:
-    """pairs with x_size, y_size, xny (estimates) and xny_error (standard error of xny).
+    """(x, y, x_size, y_size, xny, xny_error): estimated sizes and overlap with its standard error.
 
-    ``pairs`` holds any list of pairs of groups; a group without sketch counts as empty (sizes of 0).
+    ``pairs`` holds any list of pairs of groups, nulls included; a group without sketch counts as empty (sizes of 0). Other
+    columns are ignored.
     """
+    pairs = pairs.select(x, y)
     one = sketches.select(F.col("g").alias("__gx"), F.col("registers").alias("__rx"))
     two = sketches.select(F.col("g").alias("__gy"), F.col("registers").alias("__ry"))
     met = pairs.join(one, pairs[x] == F.col("__gx"), "left").join(two, F.col(y) == F.col("__gy"), "left").drop("__gx", "__gy")
