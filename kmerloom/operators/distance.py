@@ -86,7 +86,7 @@ def full_matrix(pairs: DataFrame, queries: DataFrame, refs: DataFrame, metric: s
 
 def wide_matrix(long: DataFrame, refs: list[int]) -> DataFrame:
     """One row per query, one column per listed reference, values with six decimals."""
-    return long.groupBy("q").pivot("r", refs).agg(F.format_number(F.first("value"), "0.000000"))
+    return long.groupBy("q").pivot("r", refs).agg(F.format_string("%.6f", F.first("value")))
 
 
 def symmetric(triangle: DataFrame, diagonal: float = 0.0) -> DataFrame:

@@ -92,7 +92,7 @@ def phylip_rows(long: DataFrame, order: DataFrame) -> DataFrame:
     """
     right = order.select(F.col("q").alias("r"), F.col("place").alias("column"))
     met = long.join(right, "r").join(order, "q")
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "value"))), lambda x: F.format_number(x["value"], "0.000000")), " ")
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column", "value"))), lambda x: F.format_string("%.6f", x["value"])), " ")
     return met.groupBy("place", F.format_string("Species%03d", "place").alias("name")).agg(line.alias("line"))
 
 
