@@ -13,10 +13,14 @@ _ALL = f"{(1 << 64) - 1}::UHUGEINT"
 
 def _kmers(k: int, context: str, fold: int, genome: str = "g", longer: int = 0) -> str:
     """CTEs down to ``kept``: genome, forward and reverse k-mer numbers and whether the forward one counts."""
-    forward = " + ".join(f"((instr('ACGT', substr(w, {i}, 1)) - 1)::UBIGINT << {2 * (k - i)})" for i in range(1, k + 1))
-    reverse = " + ".join(f"((4 - instr('ACGT', substr(w, {i}, 1)))::UBIGINT << {2 * (i - 1)})" for i in range(1, k + 1))
+    def number(word: str) -> str:
+        return f"replace(replace(replace(replace({word}, 'A', '00'), 'C', '01'), 'G', '10'), 'T', '11')::BIT::UBIGINT"
+
+    forward, reverse = number("w"), number("reverse(translate(w, 'ACGT', 'TGCA'))")
     return f"""{_RECORDS},
-win AS (SELECT {genome} AS genome_id, upper(s) AS t, unnest(range(1, length(s) - {k} + 2)) AS p FROM recs WHERE length(s) >= {k + longer} AND {genome} IS NOT NULL),
+cut AS (SELECT {genome} AS genome_id, upper(s) AS s, unnest(range(0, length(s), 200)) AS o FROM recs WHERE length(s) >= {k + longer} AND {genome} IS NOT NULL),
+chunks AS (SELECT genome_id, substr(s, o + 1, {200 + k - 1}) AS t FROM cut),
+win AS (SELECT genome_id, t, unnest(range(1, least(length(t) - {k} + 2, 201))) AS p FROM chunks WHERE length(t) >= {k}),
 words AS (SELECT genome_id, substr(t, p, {k}) AS w FROM win WHERE regexp_full_match(substr(t, p, {k}), '[ACGT]+')),
 nums AS (SELECT genome_id, {forward} AS f, {reverse} AS r FROM words),
 ctxs AS (SELECT genome_id, f, r, f & {context} AS fc, r & {context} AS rc FROM nums),
