@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kmerloom.functions.scalars import aaf_distance, differing_bases, mash_distance, naive_distance, regression_distance
-from kmerloom.operators.skew import hot_left_join
+from kmerloom.operators.skew import SALTS, hot_left_join
 
 METRICS = ("model", "mash", "aaf", "mash_if_far", "aaf_if_far")
 
@@ -26,7 +26,7 @@ def features(queries: DataFrame, refs: DataFrame) -> DataFrame:
         .withColumnRenamed("ctx", "of")
     )
     asked = refs.select(F.col("genome_id").alias("r"), "ctx", "obj").distinct()
-    met = hot_left_join(asked, lists, "ctx", "of").where("qs is not null").select("r", "obj", F.explode("qs").alias("x"))
+    met = hot_left_join(asked, lists, "ctx", "of", salts=SALTS).where("qs is not null").select("r", "obj", F.explode("qs").alias("x"))
     least = F.array_min(F.transform("x.objs", lambda o: differing_bases(o.bitwiseXOR(F.col("obj")).cast("bigint"))))
     per = met.select(F.col("x.q").alias("q"), "r", least.alias("d"))
     return per.groupBy("q", "r").agg(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kmerloom.operators.skew import hot_left_join
+from kmerloom.operators.skew import SALTS, hot_left_join
 
 LEAST_SHARED = 6
 LOW, HIGH = 0.98, 0.99
@@ -16,7 +16,7 @@ def shared_abundances(samples: DataFrame, refs: DataFrame) -> DataFrame:
     Counts per abundance, not lists: a pair with millions of keys has as many rows as it has different abundances.
     """
     lists = samples.groupBy("ctxobj", "genome_id").agg(F.max("cnt").alias("cnt")).groupBy("ctxobj").agg(F.collect_list(F.struct(F.col("genome_id").alias("q"), "cnt")).alias("qs")).withColumnRenamed("ctxobj", "of")
-    met = hot_left_join(refs.select(F.col("genome_id").alias("r"), "ctxobj").distinct(), lists, "ctxobj", "of").where("qs is not null")
+    met = hot_left_join(refs.select(F.col("genome_id").alias("r"), "ctxobj").distinct(), lists, "ctxobj", "of", salts=SALTS).where("qs is not null")
     return met.select("r", F.explode("qs").alias("x")).select("x.q", "r", F.coalesce("x.cnt", F.lit(1)).alias("cnt")).groupBy("q", "r", "cnt").agg(F.count("*").alias("n"))
 
 
@@ -57,7 +57,7 @@ def search_vectors(queries: DataFrame, index: DataFrame, measure: str) -> DataFr
     L1 adds to the shared differences what both have elsewhere, as either sums to 100. Best first: ``place``.
     """
     lists = queries.groupBy("ref_idx").agg(F.collect_list(F.struct(F.col("sample").alias("q"), F.col("pct").alias("x"))).alias("qs")).withColumnRenamed("ref_idx", "of")
-    met = hot_left_join(index.select("sample", "ref_idx", F.col("pct").alias("y")), lists, "ref_idx", "of").where("qs is not null").select("sample", "y", F.explode("qs").alias("e")).select("e.q", "e.x", "sample", "y")
+    met = hot_left_join(index.select("sample", "ref_idx", F.col("pct").alias("y")), lists, "ref_idx", "of", salts=SALTS).where("qs is not null").select("sample", "y", F.explode("qs").alias("e")).select("e.q", "e.x", "sample", "y")
     x, y = F.col("x"), F.col("y")
     sums = met.groupBy("q", "sample").agg(F.sum(F.abs(y - x)).alias("d1"), F.sum((y - x) * (y - x)).alias("d2"), F.sum(x * y).alias("dot"), F.sum(x).alias("sx"), F.sum(y).alias("sy"))
     if measure == "cosine":

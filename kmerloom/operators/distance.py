@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kmerloom.functions.scalars import aaf_distance, erfc, jaccard, mash_distance, max_containment
-from kmerloom.operators.skew import hot_left_join
+from kmerloom.operators.skew import SALTS, hot_left_join
 from kmerloom.session import Scratch
 
 
@@ -17,7 +17,7 @@ def overlaps(queries: DataFrame, refs: DataFrame) -> DataFrame:
     """
     lists = queries.select("genome_id", "ctxobj").distinct().groupBy("ctxobj").agg(F.collect_list("genome_id").alias("qs")).withColumnRenamed("ctxobj", "of")
     asked = refs.select(F.col("genome_id").alias("r"), "ctxobj").distinct()
-    met = hot_left_join(asked, lists, "ctxobj", "of").where("qs is not null")
+    met = hot_left_join(asked, lists, "ctxobj", "of", salts=SALTS).where("qs is not null")
     return met.select(F.explode("qs").alias("q"), "r").groupBy("q", "r").agg(F.count("*").alias("shared"))
 
 

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 #: A key is hot when it has more than this share of the left rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
+#: Copies of a right row that holds a list.
+SALTS = 32
 
 
-def hot_left_join(left: DataFrame, right: DataFrame, key: str, right_key: str, left_rows: int | None = None, hot_share: float = HOT_SHARE) -> DataFrame:
+def hot_left_join(left: DataFrame, right: DataFrame, key: str, right_key: str, left_rows: int | None = None, hot_share: float = HOT_SHARE, salts: int = 0) -> DataFrame:
     """``left`` LEFT JOIN ``right`` ON left.key = right.right_key; ``right_key`` is unique in ``right`` and is dropped.
 
     Rows of hot keys meet a broadcast of the few right rows they need (at most ``1 / hot_share`` of them, by
-    construction), the others are joined by shuffle, so no task receives a hot key's rows. Rows with a null key
-    are kept with nulls. ``left`` is read twice and should be a stored table.
+    construction), the others are joined by shuffle, so no task receives a hot key's rows. Where right rows hold lists, so
+    that even a few may be large, give ``salts``: hot rows are then spread over that many copies of their right row, by
+    shuffle. Rows with a null key are kept with nulls. ``left`` is read twice and should be a stored table.
     """
     counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__hot")).count()
     if left_rows is None:
@@ -29,6 +32,12 @@ def hot_left_join(left: DataFrame, right: DataFrame, key: str, right_key: str, l
         side = side.withColumnRenamed(right_key, "__rk")
         return part.join(how(side), part[key] == side["__rk"], "left").select(*left.columns, *names)
 
-    hot_rows = joined(marked.where("__hot is not null").drop("__hot"), hot_right, F.broadcast)
+    hot_left = marked.where("__hot is not null").drop("__hot")
+    if salts:
+        copies = hot_right.withColumnRenamed(right_key, "__rk").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = hot_left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+        hot_rows = salted.join(copies, (salted[key] == copies["__rk"]) & (salted["__salt"] == copies["__copy"]), "left").select(*left.columns, *names)
+    else:
+        hot_rows = joined(hot_left, hot_right, F.broadcast)
     rest = joined(marked.where("__hot is null").drop("__hot"), right, lambda x: x)
     return rest.unionByName(hot_rows)
