@@ -25,11 +25,15 @@ def set_sizes(keys: DataFrame) -> DataFrame:
     return keys.groupBy("genome_id").agg(F.count_distinct("ctxobj").alias("size"))
 
 
+def with_sizes(pairs: DataFrame, q: DataFrame, r: DataFrame) -> DataFrame:
+    """Adds q_size and r_size, from (genome_id, size) of either side."""
+    out = pairs.join(q.select(F.col("genome_id").alias("q"), F.col("size").alias("q_size")), "q")
+    return out.join(r.select(F.col("genome_id").alias("r"), F.col("size").alias("r_size")), "r").select("q", "r", "shared", "q_size", "r_size")
+
+
 def sized_overlaps(queries: DataFrame, refs: DataFrame) -> DataFrame:
     """(q, r, shared, q_size, r_size)."""
-    q, r = set_sizes(queries), set_sizes(refs)
-    out = overlaps(queries, refs).join(q.select(F.col("genome_id").alias("q"), F.col("size").alias("q_size")), "q")
-    return out.join(r.select(F.col("genome_id").alias("r"), F.col("size").alias("r_size")), "r").select("q", "r", "shared", "q_size", "r_size")
+    return with_sizes(overlaps(queries, refs), set_sizes(queries), set_sizes(refs))
 
 
 def similarities(pairs: DataFrame, k: int) -> DataFrame:
@@ -126,6 +130,45 @@ def dereplicate(pairs: DataFrame, genomes: DataFrame, limit: float, distance: st
     return out
 
 
+def dereplicate_sketches(keys: DataFrame, limit: float, k: int, distance: str = "mash", block: int = 1000, block_rows: int = 20_000_000) -> DataFrame:
+    """(genome_id, kept) of every genome of ``keys``: the choice of ``dereplicate`` over all pairs, without making them all.
+
+    The first ``block`` genomes that wait are compared with each other and settled; then all later ones go that are near to a
+    newly kept one. So a pair of two genomes is made only if they wait in the same block or the earlier one is kept, which
+    are the pairs that decide. Distances are exact; pairs that share no key are near to no ``limit``. A block whose keys
+    would make more than ``block_rows`` rows of pairs is halved, one far below that makes the next block twice as large.
+    """
+    scratch = Scratch(keys.sparkSession, "sketches")
+    rows = scratch.keep(keys.where("genome_id is not null and ctxobj is not null").select("genome_id", "ctxobj").distinct(), "keys")
+    sizes = scratch.keep(rows.groupBy("genome_id").agg(F.count("*").alias("size")), "sizes")
+    settled = [sizes.select("genome_id", F.lit(True).alias("kept")).limit(0)]
+    while (left := rows.select("genome_id").distinct()).limit(1).count():
+        while True:
+            first = scratch.keep(left.orderBy("genome_id").limit(block), "block")
+            own = scratch.keep(rows.join(first, "genome_id", "left_semi"), "own")
+            made = own.groupBy("ctxobj").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+            if made <= block_rows or block == 1:
+                break
+            scratch.drop(first, own)
+            block = max(1, block // 2)
+        pairs = similarities(with_sizes(overlaps(own, own), sizes, sizes), k)
+        chosen = scratch.keep(dereplicate(pairs, first, limit, distance), "chosen")
+        newly = scratch.keep(own.join(chosen.where("kept"), "genome_id", "left_semi"), "newly")
+        later = scratch.keep(rows.join(first, "genome_id", "left_anti"), "later")
+        near = similarities(with_sizes(overlaps(newly, later), sizes, sizes), k).where(F.col(distance) < limit)
+        gone = scratch.keep(near.select(F.col("r").alias("genome_id")).distinct(), "gone")
+        settled += [chosen.select("genome_id", "kept"), gone.withColumn("kept", F.lit(False))]
+        scratch.drop(rows, own, newly)
+        rows = scratch.keep(later.join(gone, "genome_id", "left_anti"), "waiting")
+        scratch.drop(later)
+        if made * 8 <= block_rows:
+            block *= 2
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def selection_codes(chosen: DataFrame, genomes: DataFrame) -> DataFrame:
     """(genome_id, code): ``rank<TAB>name`` of kept genomes in order, ``0<TAB>NULL<TAB>name`` of the others.
 

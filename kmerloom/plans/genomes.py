@@ -166,9 +166,7 @@ def matrix_full(spark, folder):
 
 
 def dereplicated(spark, folder):
-    keys = _keys(spark, folder)
-    pairs = distance.similarities(distance.sized_overlaps(_asked(keys), _asked(keys)), K)
-    return distance.dereplicate(pairs, _asked(keys), 0.2)
+    return distance.dereplicate_sketches(_keys(spark, folder), 0.2, K)
 
 
 def ani_features(spark, folder):
