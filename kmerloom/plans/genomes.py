@@ -197,8 +197,9 @@ def composition(spark, folder):
 
 
 def _vectors(spark, folder):
+    """Of all samples: every one may be the nearest to one that is asked."""
     keys = _keys(spark, folder)
-    return Scratch(spark, "vectors").keep(composite.abundance_vectors(composite.composition(_asked(keys), keys)), "vectors")
+    return Scratch(spark, "vectors").keep(composite.abundance_vectors(composite.composition(keys, keys)), "vectors")
 
 
 def abundance_vectors(spark, folder):
@@ -208,7 +209,7 @@ def abundance_vectors(spark, folder):
 def _search(measure):
     def query(spark, folder):
         vectors = _vectors(spark, folder)
-        return _rounded(composite.search_vectors(vectors, vectors, measure).drop("place"), "measure")
+        return _rounded(composite.search_vectors(vectors.where("sample % 50 = 0"), vectors, measure).drop("place"), "measure")
 
     return query
 
