@@ -4,8 +4,10 @@ Every set is embedded into ``coordinates`` MinHash tokens (Christiani, Pagh and
 similarity join", 2018). A tree node chooses 1 / threshold coordinates at random (by a hash of the node) and sends each of
 its records to one child per chosen coordinate, named by the record's token there; records that share the token meet again.
 Nodes of at most ``node_limit`` records are compared by brute force on the embedding, larger ones are split further.
-A pair at the threshold meets in a tree with probability 0.75 after one split and 0.61 after two, so ``trees`` trees
-miss it with 0.39 ** trees. What passes the embedding's lenient test is verified exactly on the sets.
+A pair at the threshold meets in a tree with probability 0.75 after one split, 0.61 after two and 0.36 after six. All trees
+share the embedding, so a pair whose tokens agree less than its sets does is missed more often: ``missed`` sums over
+that, and ``trees_needed`` gives the trees for the deepest split that nodes may reach. What passes the embedding's
+lenient test is verified exactly on the sets.
 
 Records with the same set are joined into one representative first, as no split can part them.
 """
@@ -24,6 +26,8 @@ from kmerloom.operators.skew import hot_left_join
 from kmerloom.session import Scratch
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: By the trees; the test of the embedding misses 3 in a million besides.
+MISSED = 5e-6
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,6 +38,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def missed(similarity: float, threshold: float, trees: int, coordinates: int, depth: int) -> float:
+    """The chance that a pair of this similarity meets in none of the trees after ``depth`` splits."""
+    agreeing = np.arange(coordinates + 1)
+    log = np.array([math.lgamma(x + 1) for x in agreeing])
+    chance = np.exp(log[-1] - log - log[::-1] + agreeing * math.log(similarity) + (coordinates - agreeing) * math.log1p(-similarity))
+    meets = np.ones(coordinates + 1)
+    for _ in range(depth):
+        meets = 1 - (1 - agreeing / coordinates * meets) ** math.ceil(1 / threshold)
+    return float(chance @ (1 - meets) ** trees)
+
+
+def trees_needed(threshold: float, coordinates: int, depth: int) -> int:
+    """Trees by which a pair at the threshold is missed with a chance of at most MISSED after ``depth`` splits."""
+    if threshold >= 1:
+        return 1
+    trees = 1
+    while missed(threshold, threshold, trees, coordinates, depth) > MISSED:
+        trees += 1
+    return trees
+
+
 def _sketch(coordinates: int):
     """(r, size, print_a, print_b, tokens) of every chunk of a set."""
     factors = mix(np.arange(1, coordinates + 1, dtype=np.uint64)) | np.uint64(1)
@@ -134,15 +159,16 @@ def _brute(coordinates: int, threshold: float, least: float):
 
 
 def similar_pairs(
-    rows: DataFrame, record: str, value: str, threshold: float = 0.5, trees: int = 20, coordinates: int = 128, node_limit: int = 100, max_depth: int = 6, chunk_values: int = 1 << 20, seed: int = 1
+    rows: DataFrame, record: str, value: str, threshold: float = 0.5, trees: int | None = None, coordinates: int = 256, node_limit: int = 100, max_depth: int = 6, chunk_values: int = 1 << 20, seed: int = 1
 ) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of records whose sets have a Jaccard similarity of at least ``threshold``.
 
     ``rows`` holds one row per value of a record, both integers. Rows with a null in either column hold no value, repeated
     rows count once, records without values are in no pair, other columns are ignored. A similarity of exactly
-    ``threshold`` counts. ``coordinates`` is a power of two. For pairs between two tables, give the union of both and
+    ``threshold`` counts. ``coordinates`` is a power of two, ``trees`` follows from it and ``max_depth`` unless given. For pairs between two tables, give the union of both and
     keep the pairs between them. Sets above ``chunk_values`` values are held in several rows by hash of the value.
     """
+    trees = trees or trees_needed(threshold, coordinates, max_depth)
     scratch = Scratch(rows.sparkSession, "pairs")
     facts = rows.where(F.col(record).isNotNull() & F.col(value).isNotNull()).select(F.col(record).cast("bigint").alias("r"), F.col(value).cast("bigint").alias("v"))
     largest = facts.groupBy("r").count().agg(F.max("count")).first()[0] or 0

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from kmerloom.llm.similar_pairs import similar_pairs
+from kmerloom.llm.similar_pairs import missed, similar_pairs, trees_needed
 
 
 def sets():
@@ -33,3 +33,17 @@ def test_against_brute_force(spark, options):
 
 def test_empty(spark):
     assert similar_pairs(spark.createDataFrame([], "r long, v long"), "r", "v").count() == 0
+
+
+def test_trees_follow_the_depth():
+    assert missed(0.5, 0.5, 20, 128, 6) > 1e-3  # what 20 trees and 128 coordinates lose
+    for threshold in (0.3, 0.5, 0.8):
+        for depth in (1, 3, 6):
+            assert missed(threshold, threshold, trees_needed(threshold, 256, depth), 256, depth) <= 5e-6
+
+
+def test_no_pair_at_the_threshold_is_lost_after_six_splits(spark):
+    # a pair of 2 n and 2 n + 1 has 20 of 40 values in common; nodes of two are split to the end
+    rows = spark.range(8000).selectExpr("id AS r", "explode(sequence(0, 29)) AS i").selectExpr("r", "IF(i < 20, xxhash64(r div 2, i), xxhash64(r, i, 'own')) AS v")
+    got = similar_pairs(rows, "r", "v", 0.5, node_limit=1)
+    assert got.where("similarity = 0.5 AND b = a + 1 AND a % 2 = 0").count() == got.count() == 4000
