@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kmerloom.functions.scalars import aaf_distance, differing_bases, mash_distance, naive_distance, regression_distance
-from kmerloom.operators.skew import SALTS, hot_left_join
+from kmerloom.operators.skew import SALTS, hot_left_join, list_block
+from kmerloom.session import Scratch
 
 METRICS = ("model", "mash", "aaf", "mash_if_far", "aaf_if_far")
 
@@ -15,18 +16,18 @@ def features(queries: DataFrame, refs: DataFrame) -> DataFrame:
 
     Both sides have genome_id, ctx and obj. A query's objects of one context are compared together and the nearest counts; a
     reference's count one by one, so give conflict-free references where that matters. As in ``overlaps``, each context's
-    queries are gathered once and hot contexts are spread.
+    queries are gathered into bounded lists and hot contexts are spread.
     """
     lists = (
         queries.select("genome_id", "ctx", "obj")
         .groupBy("ctx", "genome_id")
         .agg(F.collect_set("obj").alias("objs"))
-        .groupBy("ctx")
+        .groupBy("ctx", list_block(F.col("genome_id")).alias("block"))
         .agg(F.collect_list(F.struct(F.col("genome_id").alias("q"), "objs")).alias("qs"))
-        .withColumnRenamed("ctx", "of")
+        .select(F.col("ctx").alias("of"), "qs")
     )
-    asked = refs.select(F.col("genome_id").alias("r"), "ctx", "obj").distinct()
-    met = hot_left_join(asked, lists, "ctx", "of", salts=SALTS).where("qs is not null").select("r", "obj", F.explode("qs").alias("x"))
+    asked = Scratch(refs.sparkSession, "features").keep(refs.select(F.col("genome_id").alias("r"), "ctx", "obj").distinct(), "references")
+    met = hot_left_join(asked, lists, "ctx", "of", asked.count(), salts=SALTS).where("qs is not null").select("r", "obj", F.explode("qs").alias("x"))
     least = F.array_min(F.transform("x.objs", lambda o: differing_bases(o.bitwiseXOR(F.col("obj")).cast("bigint"))))
     per = met.select(F.col("x.q").alias("q"), "r", least.alias("d"))
     return per.groupBy("q", "r").agg(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kmerloom.operators.skew import SALTS, hot_left_join
+from kmerloom.operators.skew import SALTS, hot_left_join, list_block
+from kmerloom.session import Scratch
 
 LEAST_SHARED = 6
 LOW, HIGH = 0.98, 0.99
@@ -15,8 +16,9 @@ def shared_abundances(samples: DataFrame, refs: DataFrame) -> DataFrame:
 
     Counts per abundance, not lists: a pair with millions of keys has as many rows as it has different abundances.
     """
-    lists = samples.groupBy("ctxobj", "genome_id").agg(F.max("cnt").alias("cnt")).groupBy("ctxobj").agg(F.collect_list(F.struct(F.col("genome_id").alias("q"), "cnt")).alias("qs")).withColumnRenamed("ctxobj", "of")
-    met = hot_left_join(refs.select(F.col("genome_id").alias("r"), "ctxobj").distinct(), lists, "ctxobj", "of", salts=SALTS).where("qs is not null")
+    lists = samples.groupBy("ctxobj", "genome_id").agg(F.max("cnt").alias("cnt")).groupBy("ctxobj", list_block(F.col("genome_id")).alias("block")).agg(F.collect_list(F.struct(F.col("genome_id").alias("q"), "cnt")).alias("qs")).select(F.col("ctxobj").alias("of"), "qs")
+    held = Scratch(refs.sparkSession, "composition").keep(refs.select(F.col("genome_id").alias("r"), "ctxobj").distinct(), "references")
+    met = hot_left_join(held, lists, "ctxobj", "of", held.count(), salts=SALTS).where("qs is not null")
     return met.select("r", F.explode("qs").alias("x")).select("x.q", "r", F.coalesce("x.cnt", F.lit(1)).alias("cnt")).groupBy("q", "r", "cnt").agg(F.count("*").alias("n"))
 
 

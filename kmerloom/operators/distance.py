@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kmerloom.functions.scalars import aaf_distance, erfc, jaccard, mash_distance, max_containment
-from kmerloom.operators.skew import SALTS, hot_left_join
+from kmerloom.operators.skew import SALTS, hot_left_join, list_block
 from kmerloom.session import Scratch
 
 
+def distinct_keys(keys: DataFrame, name: str) -> DataFrame:
+    """(genome_id, ctxobj), each once, stored: overlaps and sizes read it again."""
+    rows = keys.where("genome_id is not null and ctxobj is not null").select("genome_id", "ctxobj").distinct()
+    return Scratch(keys.sparkSession, "overlaps").keep(rows, name)
+
+
 def overlaps(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """(q, r, shared): how many distinct keys a query and a reference genome share; pairs without any are left out.
+    """(q, r, shared): how many keys a query and a reference genome share; pairs without any are left out.
 
-    Every key's queries are gathered into one list, so a reference row meets one row at most, and keys that many
-    reference rows hold are spread by ``hot_left_join``. The list is as long as there are queries, at most.
+    Both sides are stored tables of distinct keys (``distinct_keys``). The queries of every key are gathered into lists of bounded
+    length, so a reference row meets a few list rows, and keys that many reference rows hold are spread by ``hot_left_join``.
     """
-    lists = queries.select("genome_id", "ctxobj").distinct().groupBy("ctxobj").agg(F.collect_list("genome_id").alias("qs")).withColumnRenamed("ctxobj", "of")
-    asked = refs.select(F.col("genome_id").alias("r"), "ctxobj").distinct()
-    met = hot_left_join(asked, lists, "ctxobj", "of", salts=SALTS).where("qs is not null")
+    lists = queries.groupBy("ctxobj", list_block(F.col("genome_id")).alias("block")).agg(F.collect_list("genome_id").alias("qs")).select(F.col("ctxobj").alias("of"), "qs")
+    met = hot_left_join(refs.select(F.col("genome_id").alias("r"), "ctxobj"), lists, "ctxobj", "of", refs.count(), salts=SALTS).where("qs is not null")
     return met.select(F.explode("qs").alias("q"), "r").groupBy("q", "r").agg(F.count("*").alias("shared"))
 
 
 def set_sizes(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("genome_id").agg(F.count_distinct("ctxobj").alias("size"))
+    """(genome_id, size) of distinct keys."""
+    return keys.groupBy("genome_id").agg(F.count("*").alias("size"))
 
 
 def with_sizes(pairs: DataFrame, q: DataFrame, r: DataFrame) -> DataFrame:
@@ -32,8 +38,9 @@ def with_sizes(pairs: DataFrame, q: DataFrame, r: DataFrame) -> DataFrame:
 
 
 def sized_overlaps(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """(q, r, shared, q_size, r_size)."""
-    return with_sizes(overlaps(queries, refs), set_sizes(queries), set_sizes(refs))
+    """(q, r, shared, q_size, r_size) of any two sketches: repeated rows count once, rows with a null key or genome don't."""
+    asked, held = distinct_keys(queries, "queries"), distinct_keys(refs, "references")
+    return with_sizes(overlaps(asked, held), set_sizes(asked), set_sizes(held))
 
 
 def similarities(pairs: DataFrame, k: int) -> DataFrame:

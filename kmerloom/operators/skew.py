@@ -1,13 +1,32 @@
-"""Left joins whose left side may hold a large share of its rows under one key."""
+"""Joins and running sums that leave no task with a large share of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: A key is hot when it has more than this share of the left rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
 #: Copies of a right row that holds a list.
 SALTS = 32
+#: Ids whose upper bits agree share a list; it has at most 2 ** LIST_BITS entries.
+LIST_BITS = 10
+
+
+def list_block(ids: Column) -> Column:
+    """Which of a key's lists an id goes to: lists of distinct ids have at most 1,024 entries, whatever the key."""
+    return F.shiftright(ids.cast("bigint"), LIST_BITS)
+
+
+def with_sum_before(rows: DataFrame, value: str, order: str, by: tuple[str, ...] = (), name: str = "before", width: int = 4096) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the same ``by`` with a smaller ``order`` (integers, unique within ``by``).
+
+    Runs of ``width`` orders are summed first, so that a window sees the rows of one run, or one row per run.
+    """
+    cut = rows.withColumn("__run", F.floor(F.col(order) / width))
+    runs = cut.groupBy(*by, "__run").agg(F.sum(value).alias("__n"))
+    starts = runs.select(*by, "__run", (F.sum("__n").over(Window.partitionBy(*by).orderBy("__run")) - F.col("__n")).alias("__start"))
+    inner = F.sum(value).over(Window.partitionBy(*by, "__run").orderBy(order)) - F.col(value)
+    return cut.withColumn("__inner", inner).join(starts, [*by, "__run"]).select(*rows.columns, (F.col("__start") + F.col("__inner")).alias(name))
 
 
 def hot_left_join(left: DataFrame, right: DataFrame, key: str, right_key: str, left_rows: int | None = None, hot_share: float = HOT_SHARE, salts: int = 0) -> DataFrame:

@@ -74,8 +74,11 @@ class Scratch:
         schema = type(df.schema)(fields)
         parts = []
         for value in ("true", "false"):
-            if self._exists(f"{path}/{flag}={value}"):
-                parts.append(self.spark.read.schema(schema).parquet(f"{path}/{flag}={value}"))
+            at = f"{path}/{flag}={value}"
+            if self._exists(at):
+                part = self.spark.read.schema(schema).parquet(at)
+                part._scratch_path = at
+                parts.append(part)
             else:
                 parts.append(self.spark.createDataFrame([], schema))
         return parts[0], parts[1]
