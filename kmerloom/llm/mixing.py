@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
 Each source's records, one after the other in a hash order, are cut into blocks of ``block_tokens`` tokens. The mixture is
-a sequence of slots in output shards. A shard's counts per source are drawn at random: multinomial, given the totals,
+a sequence of slots in output shards. Its size is a budget of tokens; a source that holds too little for its share of it is used as
+often as its cap allows. A shard's counts per source are drawn at random: multinomial, given the totals,
 so that the shares come out and no cap is passed. The draw splits the shards in halves from the whole down, each half by
 a seed of its own, so every shard finds its counts and the number of slots before it without seeing another. The t-th
 slot of a source takes block permutation(t mod blocks) of epoch t div blocks, a keyed permutation of the source's block
@@ -12,12 +13,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kmerloom.llm.similar_pairs import mix
+from kmerloom.operators.skew import with_sum_before
 from kmerloom.session import Scratch
 
 SLOTS = "shard bigint, slot int, s int, epoch int, block_no bigint"
@@ -37,24 +40,59 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+#: The generator draws from populations below this size.
+GENERATOR_LIMIT = 1_000_000_000
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of ``take`` slots drawn out of good + bad are good ones, at any size.
+
+    Beyond the generator's limit the distribution is inverted: probabilities follow from that of the mode by ratios of neighbours,
+    over all values within twelve standard deviations (what lies outside is below 1e-30).
+    """
+    total = good + bad
+    if total < GENERATOR_LIMIT:
+        return int(rng.hypergeometric(good, bad, take)) if take else 0
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    mode = min(high, max(low, (take + 1) * (good + 1) // (total + 2)))
+    deviation = math.sqrt(take / total * good * (bad / total) * ((total - take) / max(total - 1, 1)))
+    reach = int(12 * deviation) + 60
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    x = np.arange(high - low, dtype=np.float64)  # from low + x to low + x + 1
+    up = np.log(float(good - low) - x) + np.log(float(take - low) - x) - np.log(x + float(low + 1)) - np.log(x + float(bad - take + low + 1))
+    log = np.concatenate([[0.0], np.cumsum(up)])
+    weights = np.cumsum(np.exp(log - log[mode - low]))
+    return low + int(np.searchsorted(weights, rng.random() * weights[-1], side="right"))
+
+
 def _part(counts: np.ndarray, take: int, seed: list[int]) -> np.ndarray:
     """How many of each source are among ``take`` slots drawn of sum(counts)."""
-    total = int(counts.sum())
-    if total < 500_000_000:
-        return np.random.default_rng(seed).multivariate_hypergeometric(counts, take, method="marginals")
-    exact = counts * (take / total)  # the deviation doesn't matter at this size
-    part = np.floor(exact).astype(np.int64)
-    part[np.argsort(part - exact)[: take - int(part.sum())]] += 1
+    total, rng = int(counts.sum()), np.random.default_rng(seed)
+    if total < GENERATOR_LIMIT:
+        return rng.multivariate_hypergeometric(counts, take, method="marginals")
+    part = np.zeros_like(counts)
+    for s, n in enumerate(counts.tolist()):
+        total -= n
+        part[s] = hypergeometric(rng, n, total, take)
+        take -= int(part[s])
     return part
 
 
+@lru_cache(maxsize=4096)
+def _left_half(low: int, high: int, counts: tuple[int, ...], take: int, seed: int) -> np.ndarray:
+    """The draw for the left half of shards low .. high; the shards of a task share most of their way down."""
+    return _part(np.array(counts, np.int64), take, [seed, low, high])
+
+
 def shard_counts(shard: int, counts: np.ndarray, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each source in a shard, and in all shards before it."""
     total = int(counts.sum())
     low, high, before = 0, -(-total // slots), np.zeros_like(counts)
     while high - low > 1:
         middle = (low + high) // 2
-        left = _part(counts, min(middle * slots, total) - low * slots, [seed, low, high])
+        left = _left_half(low, high, tuple(counts.tolist()), min(middle * slots, total) - low * slots, seed)
         if shard < middle:
             counts, high = left, middle
         else:
@@ -66,8 +104,10 @@ def mixture(sizes: DataFrame, targets: DataFrame, block_tokens: int = 256, shard
     """(shard, slot, source, epoch, block_no, n_tokens, spans) of the mixture; spans are (id, first_token, end_token).
 
     ``sizes`` has id, source and n_tokens; ``targets`` source, target_share and max_repeats, one row per source. The
-    mixture is as large as the caps allow, or ``total_tokens`` if that is less. Sources without tokens, target or a
-    positive share are left out and the other shares scaled to 1; other columns are ignored. No block, so no token of a record, occurs more than
+    budget is ``total_tokens``, by default all tokens that the listed sources hold, so the mixture grows with its input. Every source
+    gives its share of the budget, or all it has max_repeats times over where that is less; the others aren't stretched to make up
+    for it, as that would move the sources' weights further from their targets (``reached_shares`` tells what came out). Sources
+    without tokens, target or a positive share are left out and the other shares scaled to 1; other columns are ignored. No block, so no token of a record, occurs more than
     max_repeats times; occurrences of a source's blocks differ by one at most. Without any source the result is empty.
     """
     kind = sizes.schema["id"].dataType.simpleString()
@@ -83,9 +123,9 @@ def mixture(sizes: DataFrame, targets: DataFrame, block_tokens: int = 256, shard
     scale = sum(x["share"] for x in held)
     for x in held:
         x["blocks"] = -(-x["tokens"] // block_tokens)
-    total = min(x["cap"] * x["tokens"] * scale / x["share"] for x in held)
-    total = min(total, total_tokens or total)
-    counts = np.array([min(x["cap"] * x["blocks"], round(x["share"] / scale * total * x["blocks"] / x["tokens"])) for x in held], np.int64)
+    budget = sum(x["tokens"] for x in held) if total_tokens is None else total_tokens
+    # a source's blocks are full but for its last
+    counts = np.array([min(x["cap"] * x["blocks"], round(x["share"] / scale * budget * x["blocks"] / x["tokens"])) for x in held], np.int64)
     n_blocks = [x["blocks"] for x in held]
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +157,7 @@ def _blocks(scratch: Scratch, known: DataFrame, block_tokens: int, records: int)
     buckets = max(1, records // 20_000)
     rows = known.select("s", "id", "n_tokens", F.xxhash64("id").alias("h"), F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"))
     sums = rows.groupBy("s", "bucket").agg(F.sum("n_tokens").alias("n"))
-    starts = sums.select("s", "bucket", (F.sum("n").over(Window.partitionBy("s").orderBy("bucket")) - F.col("n")).alias("start"))
+    starts = with_sum_before(sums, "n", "bucket", ("s",), "start").select("s", "bucket", "start")
     within = Window.partitionBy("s", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(starts, ["s", "bucket"])
     placed = placed.select("s", "id", "n_tokens", (F.col("start") + F.col("inner")).alias("from"))

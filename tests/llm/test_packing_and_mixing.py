@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from kmerloom.llm.mixing import mixture, permuted, reached_shares, shard_counts
+from kmerloom.llm import mixing
+from kmerloom.llm.mixing import _part, hypergeometric, mixture, permuted, reached_shares, shard_counts
 from kmerloom.llm.packing import pack
 from kmerloom.llm.tokens import token_count, with_token_counts
 
@@ -43,16 +44,52 @@ def test_mixture_reaches_shares_within_caps(spark):
     rows = [(i, "abcd"[min(3, int(rnd.expovariate(1)))], rnd.randrange(1, 900), "x") for i in range(2500)] + [(9000, None, 50, "x"), (9001, "z", 50, "x")]
     sizes = spark.createDataFrame(rows, "id long, source string, n_tokens long, s string")
     targets = spark.createDataFrame([("a", 0.3, 1, 0), ("b", 0.3, 2, 0), ("c", 0.2, 3, 0), ("d", 0.1, 4, 0), ("none", 0.1, 2, 0)], "source string, target_share double, max_repeats int, n_tokens long")
-    mixed = mixture(sizes, targets, block_tokens=64, shard_slots=100)
+    held = {k: sum(n for _, x, n, _ in rows if x == k) for k in "abcd"}
+    mixed = mixture(sizes, targets, block_tokens=64, shard_slots=100, total_tokens=400_000)
     got = {r.source: r for r in reached_shares(mixed, targets).collect()}
     for s, share in zip("abcd", (0.3, 0.3, 0.2, 0.1)):
         assert abs(got[s].actual_share - share / 0.9) < 0.005 and got[s].most_repeats <= got[s].max_repeats
+        assert abs(got[s].n_tokens - 400_000 * share / 0.9) < 300
     assert got["none"].n_tokens == 0
     out = mixed.collect()
     assert sum(len(r.spans) for r in out if r.epoch == 0 and r.source == "a") and len({(r.shard, r.slot) for r in out}) == len(out)
     assert all(sum(x.end_token - x.first_token for x in r.spans) == r.n_tokens <= 64 for r in out)
     n = {i: k for i, _, k, _ in rows}
     assert all(0 <= x.first_token < x.end_token <= n[x.id] for r in out for x in r.spans)
+    # a source that holds too little for its share of all tokens comes up to its cap, the others keep their part of the budget
+    wanted = dict(zip("abcd", ((0.2, 1), (0.2, 2), (0.2, 3), (0.4, 2))))
+    targets = spark.createDataFrame([(k, share, cap) for k, (share, cap) in wanted.items()], "source string, target_share double, max_repeats int")
+    whole = {r.source: r for r in reached_shares(mixture(sizes, targets, block_tokens=64, shard_slots=100), targets).collect()}
+    most = {k: cap * held[k] for k, (_, cap) in wanted.items()}
+    for k, (share, cap) in wanted.items():
+        assert abs(whole[k].n_tokens - min(most[k], share * sum(held.values()))) <= 64 * cap + 1 and whole[k].n_tokens <= most[k]
+    short = [k for k, (share, _) in wanted.items() if most[k] < share * sum(held.values())]
+    assert "d" in short and all(whole[k].n_tokens == most[k] and whole[k].most_repeats == wanted[k][1] for k in short)
+
+
+def test_draws_at_any_size():
+    rng = np.random.default_rng(3)
+    counts = np.array([3_000_000_000, 40_000, 7, 0, 900_000_000], np.int64)
+    total = int(counts.sum())
+    draws = np.array([_part(counts, total // 2, [k]) for k in range(60)])
+    assert (draws.sum(1) == total // 2).all() and (draws >= 0).all() and (draws <= counts).all()
+    deviation = np.sqrt(counts / 4 * (1 - counts / total))
+    z = (draws - counts / 2)[:, deviation > 10] / deviation[deviation > 10]
+    assert (np.abs(z.mean(0)) < 0.7).all() and (0.6 < z.std(0)).all() and (z.std(0) < 1.4).all()  # random, not rounded
+    assert len({tuple(d) for d in draws}) == 60 and 0 < draws[:, 2].std()
+    assert (_part(counts, 11, [1]) <= 11).all() and (_part(counts, total, [1]) == counts).all() and _part(counts, 0, [1]).sum() == 0
+    # the inverted distribution is the generator's
+    small = [hypergeometric(rng, 60, 40, 30) for _ in range(4000)]
+    limit, mixing.GENERATOR_LIMIT = mixing.GENERATOR_LIMIT, 0
+    try:
+        inverted = [hypergeometric(rng, 60, 40, 30) for _ in range(4000)]
+        assert [hypergeometric(rng, 5, 0, 3), hypergeometric(rng, 0, 5, 3), hypergeometric(rng, 5, 5, 0)] == [3, 0, 0]
+    finally:
+        mixing.GENERATOR_LIMIT = limit
+    assert abs(np.mean(small) - np.mean(inverted)) < 0.2 and abs(np.std(small) - np.std(inverted)) < 0.15
+    before = shard_counts(700_000, counts, 4096, 1)
+    after = shard_counts(700_001, counts, 4096, 1)
+    assert before[0].sum() == 4096 and (before[0] + before[1] == after[1]).all()
 
 
 def test_draws_add_up():
