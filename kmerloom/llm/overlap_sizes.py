@@ -10,16 +10,20 @@ at once. The information matrix at the maximum gives a standard error.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kmerloom.operators.skew import hot_left_join
+from kmerloom.operators.skew import SALTS, hot_left_join
 from kmerloom.session import Scratch
 
 P = 12
+#: Logarithm of the least size that the estimate takes for a part.
+LEAST = -7.0
 
 
 def hash_of(identifier: Column) -> Column:
@@ -27,7 +31,8 @@ def hash_of(identifier: Column) -> Column:
 
 
 def register_sketches(rows: DataFrame, group: str, identifier: str, p: int = P) -> DataFrame:
-    """(g, registers): one byte for each of the 2^p registers of every group. Null groups and identifiers don't count."""
+    """(g, registers): one byte for each of the 2^p registers of every group, deflated. Null groups and identifiers don't count,
+    repeated rows change nothing."""
     h = hash_of(F.col(identifier))
     rest = F.shiftleft(h, p).bitwiseOR(F.lit(1 << (p - 1)))  # the bit below stops the count at 64 - p zeros
     cells = (
@@ -45,12 +50,18 @@ def register_sketches(rows: DataFrame, group: str, identifier: str, p: int = P)
             for i, r in zip(frame["i"], frame["r"], strict=True):
                 registers = np.zeros(1 << p, np.uint8)
                 registers[np.asarray(i, np.int64)] = np.asarray(r, np.uint8)
-                out.append(registers.tobytes())
+                out.append(zlib.compress(registers.tobytes(), 1))
             yield pd.DataFrame({"g": frame["g"], "registers": out})
 
     return lists.mapInPandas(pack, f"g {kind}, registers binary")
 
 
+def inflated(registers: list[bytes | None], p: int) -> np.ndarray:
+    """[sketch, register] of deflated sketches; none is an empty set."""
+    empty = bytes(1 << p)
+    return np.frombuffer(b"".join(empty if r is None else zlib.decompress(r) for r in registers), np.uint8).reshape(-1, 1 << p)
+
+
 def register_counts(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
     """[pair, kind, value]: how many registers have a < b (by a and by b), a > b (by a and by b), a = b."""
     q = 64 - p
@@ -86,14 +97,15 @@ def joint_estimate(counts: np.ndarray, p: int, rounds: int = 40) -> tuple[np.nda
     width = np.where(k == 0, 0, np.minimum(below, 1e300) - s)
     c = counts.astype(float)
 
-    def single(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log P(register = k) and its derivative for one size: exp(-size s) (1 - exp(-size width))."""
+    def single(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log P(register = k) for one size, exp(-size s) (1 - exp(-size width)); its slope and, negated, its curvature."""
         x = size[:, None]
-        gap = -np.expm1(-x * width)
+        rest = np.exp(-x * width)
+        gap = np.maximum(-np.expm1(-x * width), 1e-300)
         first = k == 0
-        log = -x * s + np.where(first, 0, np.log(np.maximum(gap, 1e-300)))
-        slope = -s + np.where(first, 0, width * np.exp(-x * width) / np.maximum(gap, 1e-300))
-        return log, slope
+        log = -x * s + np.where(first, 0, np.log(gap))
+        slope = -s + np.where(first, 0, width * rest / gap)
+        return log, slope, np.where(first, 0, (width / gap) ** 2 * rest)
 
     def equal(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b, x = a[:, None], b[:, None], x[:, None]
@@ -110,18 +122,17 @@ def joint_estimate(counts: np.ndarray, p: int, rounds: int = 40) -> tuple[np.nda
         a, b, x = size.T
         terms = [(c[:, 0], single(a + x), (0, 2)), (c[:, 1], single(b), (1,)), (c[:, 2], single(a), (0,)), (c[:, 3], single(b + x), (1, 2))]
         log_e, slope_e = equal(a, b, x)
-        value = sum((n * log).sum(1) for n, (log, _), _ in terms) + (c[:, 4] * log_e).sum(1)
+        value = sum((n * log).sum(1) for n, (log, _, _), _ in terms) + (c[:, 4] * log_e).sum(1)
         if not with_slopes:
             return value, None, None
         gradient, information = np.zeros((len(t), 3)), np.zeros((len(t), 3, 3))
-        for n, (_, slope), which in terms:
+        for n, (_, slope, _), which in terms:
             first = (n * slope).sum(1)
             for i in which:
                 gradient[:, i] += first
         gradient += (c[:, 4, :, None] * slope_e).sum(1)
-        # the terms "less" join the values of a and of b: their scores are squared apart, which leaves the sign definite
-        for n, (_, slope), which in terms:
-            second = (n * slope * slope).sum(1)
+        for n, (_, _, curvature), which in terms:
+            second = (n * curvature).sum(1)
             for i in which:
                 for j in which:
                     information[:, i, j] += second
@@ -136,9 +147,12 @@ def joint_estimate(counts: np.ndarray, p: int, rounds: int = 40) -> tuple[np.nda
     value, gradient, information = evaluate(t, True)
     eye = np.eye(3)
     for _ in range(rounds):
-        matrix = information + (damp[:, None] * np.maximum(np.einsum("pii->pi", information), 1e-9))[:, :, None] * eye
-        step = np.clip(np.linalg.solve(matrix + 1e-12 * eye, gradient[:, :, None])[:, :, 0], -2, 2)
-        trial = np.clip(t + step, -7, 60)
+        free = ~((t <= LEAST) & (gradient <= 0))  # what the data push to nothing stays there and moves nothing else
+        matrix = information * (free[:, :, None] & free[:, None, :])
+        matrix += (damp[:, None] * np.maximum(np.einsum("pii->pi", information), 1e-9) + ~free)[:, :, None] * eye
+        step = np.linalg.solve(matrix + 1e-12 * eye, (gradient * free)[:, :, None])[:, :, 0]
+        step *= np.minimum(1, 2 / np.maximum(np.abs(step).max(1), 1e-300))[:, None]
+        trial = np.clip(t + step, LEAST, 60)
         new, new_gradient, new_information = evaluate(trial, True)
         better = new >= value
         moved = np.abs(trial - t).max(1)
@@ -153,7 +167,7 @@ def joint_estimate(counts: np.ndarray, p: int, rounds: int = 40) -> tuple[np.nda
     return sizes, errors
 
 
-def overlap_sizes(pairs: DataFrame, sketches: DataFrame, x: str = "x", y: str = "y", p: int = P, batch: int = 2000) -> DataFrame:
+def overlap_sizes(pairs: DataFrame, sketches: DataFrame, x: str = "x", y: str = "y", p: int = P) -> DataFrame:
     """(x, y, x_size, y_size, xny, xny_error): estimated sizes and overlap with its standard error.
 
     ``pairs`` holds any list of pairs of groups, nulls included; a group without sketch counts as empty (sizes of 0). Other
@@ -165,60 +179,92 @@ def overlap_sizes(pairs: DataFrame, sketches: DataFrame, x: str = "x", y: str =
     met = pairs.join(one, pairs[x] == F.col("__gx"), "left").join(two, F.col(y) == F.col("__gy"), "left").drop("__gx", "__gy")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
 
+    batch = max(1, (1 << 23) >> p)  # 16 MB of registers
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = bytes(1 << p)
         for whole in batches:
             for from_row in range(0, len(whole), batch):
                 frame = whole.iloc[from_row : from_row + batch]
-                registers = [np.frombuffer(b"".join(r if r is not None else empty for r in frame[c]), np.uint8).reshape(-1, 1 << p) for c in ("__rx", "__ry")]
-                sizes, errors = joint_estimate(register_counts(*registers, p), p)
+                sizes, errors = joint_estimate(register_counts(*(inflated(frame[c].tolist(), p) for c in ("__rx", "__ry")), p), p)
                 yield frame.drop(columns=["__rx", "__ry"]).assign(x_size=sizes[:, 0] + sizes[:, 2], y_size=sizes[:, 1] + sizes[:, 2], xny=sizes[:, 2], xny_error=errors[:, 2])
 
     return met.mapInPandas(run, fields + ", x_size double, y_size double, xny double, xny_error double")
 
 
-def contained_pairs(rows: DataFrame, group: str, identifier: str, least: float = 0.5, p: int = P, sample: int = 64, hot_groups: int = 1000, errors: float = 4.0) -> DataFrame:
-    """(x, y, x_size, y_size, xny), x < y: pairs of groups that share at least ``least`` of the smaller one's identifiers.
+def contained_pairs(rows: DataFrame, group: str, identifier: str, least: float = 0.5, p: int = P, fine_p: int = 16, hot_groups: int = 1000, errors: float = 4.0, exact: bool = False) -> DataFrame:
+    """(x, y, x_size, y_size, xny), x < y: pairs of groups that share at least ``least`` of the smaller one's identifiers, with estimated figures.
 
     1. Register sketches of all groups; each group's estimated size sets the rate at which its identifiers are sampled
-       by hash (``sample`` to twice as many, all of a group with fewer).
-    2. A group's sample meets all rows with the same identifier; pairs whose sample shares at least half of ``least``
-       are candidates: 5 standard deviations below, so that none is lost. An identifier in more than ``hot_groups`` groups
-       makes no candidates, except for groups of whose sample such identifiers are over a tenth.
-    3. The joint estimate keeps candidates whose overlap may reach ``least`` within ``errors`` standard errors.
-    4. What is left is counted exactly.
-
-    Null groups and identifiers don't count, repeated rows count once, other columns are ignored.
+       by hash (64 / least to twice as many, all of a group with fewer).
+    2. A group's sample meets the rows with the same identifiers; pairs whose sample shares at least half of ``least``
+       are candidates (a pair at the limit of 0.5 is missed with a chance of 2e-9). Identifiers in more than ``hot_groups`` groups
+       count as shared without being met, where the rest of the sample can still decide; the others meet in salted parts.
+    3. The joint estimate decides, where it is ``errors`` standard errors away from ``least``; pairs nearer to it are
+       estimated again from 2^fine_p registers, and that estimate decides.
+
+    So sizes and overlaps come from registers alone. With ``exact``, candidates that may reach ``least`` are counted by a join
+    of their rows instead. Null groups and identifiers don't count, repeated rows count once, other columns are ignored.
     """
     scratch = Scratch(rows.sparkSession, "overlaps")
     kind = rows.schema[group].dataType.simpleString()
-    facts = scratch.keep(rows.where(F.col(group).isNotNull() & F.col(identifier).isNotNull()).select(F.col(group).alias("g"), F.col(identifier).alias("i")).distinct(), "facts")
+    facts = rows.where(F.col(group).isNotNull() & F.col(identifier).isNotNull()).select(F.col(group).alias("g"), F.col(identifier).alias("i"))
     sketches = scratch.keep(register_sketches(facts, "g", "i", p), "sketches")
+    pairs = _candidates(scratch, facts, sketches, kind, least, p, hot_groups)
+    limit = least * F.least("x_size", "y_size")
+    first = scratch.keep(overlap_sizes(pairs, sketches, p=p).withColumn("clear", F.abs(F.col("xny") - limit) >= errors * F.col("xny_error")), "estimates")
+    reached = F.col("xny") >= limit
+    figures = ["x", "y", "x_size", "y_size", "xny"]
+    if exact:
+        return _counted(scratch, facts, first.where(~F.col("clear") | reached).select("x", "y")).where(reached).select(*figures)
+    near = scratch.keep(first.where("not clear").select("x", "y"), "near")
+    ids = near.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    finer = register_sketches(facts.join(ids, facts["g"] == ids["id"], "left_semi"), "g", "i", fine_p)
+    again = overlap_sizes(near, finer, p=fine_p)
+    return first.where(F.col("clear") & reached).select(*figures).unionByName(again.where(reached).select(*figures))
+
+
+def _candidates(scratch: Scratch, facts: DataFrame, sketches: DataFrame, kind: str, least: float, p: int, hot_groups: int) -> DataFrame:
+    sample = math.ceil(64 / least)
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if len(frame):
-                size = cardinality(np.frombuffer(b"".join(frame["registers"]), np.uint8).reshape(-1, 1 << p), p)
+                size = cardinality(inflated(frame["registers"].tolist(), p), p)
                 yield pd.DataFrame({"of": frame["g"], "rate": np.maximum(0, np.floor(np.log2(np.maximum(size, 1) / sample))).astype(np.int32)})
 
     rates = scratch.keep(sketches.mapInPandas(rate, f"of {kind}, rate int"), "rates")
-    n_facts = facts.count()
-    mask = F.expr("shiftleft(1L, rate) - 1L")
-    sampled = hot_left_join(facts, rates, "g", "of", n_facts).where(hash_of(F.col("i")).bitwiseAND(mask) == 0).select("g", "i")
-    spread = facts.join(sampled.select("i").distinct(), "i", "left_semi").groupBy("i").agg(F.count("*").alias("groups")).where(F.col("groups") > hot_groups).select(F.col("i").alias("hot"))
-    sampled = scratch.keep(sampled.join(spread, sampled["i"] == spread["hot"], "left").select("g", "i", F.col("hot").isNotNull().alias("hot")), "sampled")
-    sums = scratch.keep(sampled.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("hot").cast("int")).alias("n_hot")).withColumnRenamed("g", "of"), "sums")
-    asked = hot_left_join(sampled, sums, "g", "of", n_facts).where("not hot or n_hot > 0.1 * n").select(F.col("g").alias("a"), "i", "n")
-    shared = asked.join(facts.withColumnRenamed("g", "b"), "i").where("a <> b").groupBy("a", "b", "n").agg(F.count("*").alias("k"))
-    near = shared.where(F.col("k") >= F.greatest(F.lit(1), F.floor(F.col("n") * (least / 2))))
-    pairs = near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    likely = overlap_sizes(pairs, sketches, p=p).where(F.col("xny") + errors * F.col("xny_error") >= least * F.least("x_size", "y_size"))
-    likely = scratch.keep(likely.select("x", "y"), "likely")
+    lowest = rates.agg(F.min("rate")).first()[0] or 0
+    h = hash_of(F.col("i"))
+    some = facts.where(h.bitwiseAND(F.lit((1 << lowest) - 1)) == 0)  # no group samples any other row
+    sampled = scratch.keep(hot_left_join(some, rates, "g", "of").where(h.bitwiseAND(F.expr("shiftleft(1L, rate) - 1L")) == 0).select("g", "i").distinct(), "sampled")
+    hits = scratch.keep(some.join(sampled.select("i").distinct(), "i", "left_semi").select("g", "i").distinct(), "hits")
+    spread = hits.groupBy("i").agg(F.count("*").alias("groups")).where(F.col("groups") > hot_groups).select(F.col("i").alias("hot"))
+    spread = scratch.keep(spread, "hot")
+
+    def marked(side: DataFrame) -> DataFrame:
+        return side.join(spread, side["i"] == spread["hot"], "left").withColumn("hot", F.col("hot").isNotNull())
+
+    mine = marked(sampled)
+    sums = mine.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("hot").cast("int")).alias("n_hot")).withColumnRenamed("g", "of")
+    limit = F.greatest(F.lit(1), F.floor(F.col("n") * (least / 2)).cast("int"))
+    asked = mine.join(sums, mine["g"] == sums["of"]).withColumn("meets_hot", F.col("n_hot") >= limit).where("not hot or meets_hot")
+    # what a group's hot identifiers may add to what is met
+    asked = asked.select(F.col("g").alias("a"), "i", "hot", (limit - F.when(F.col("meets_hot"), 0).otherwise(F.col("n_hot"))).alias("needed"))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    asked = asked.withColumn("salt", F.explode(salts)).drop("hot")
+    held = marked(hits).select(F.col("g").alias("b"), "i", F.when(F.col("hot"), F.pmod(F.xxhash64("g"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    shared = asked.join(held, ["i", "salt"]).where("a <> b").groupBy("a", "b", "needed").agg(F.count("*").alias("k"))
+    return shared.where("k >= needed").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+
+
+def _counted(scratch: Scratch, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x, y, x_size, y_size, xny) of pairs, exactly."""
+    facts = scratch.keep(facts.distinct(), "facts")
+    pairs = scratch.keep(pairs, "pairs")
     sizes = scratch.keep(facts.groupBy("g").agg(F.count("*").alias("size")), "sizes")
     for of in ("x", "y"):
-        likely = likely.join(sizes.select(F.col("g").alias(of), F.col("size").alias(f"{of}_size")), of)
-    small, large = F.when(F.col("x_size") <= F.col("y_size"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x_size") <= F.col("y_size"), F.col("y")).otherwise(F.col("x"))
-    asked = likely.select("x", "y", "x_size", "y_size", small.alias("small"), large.alias("large"))
+        pairs = pairs.join(sizes.select(F.col("g").alias(of), F.col("size").alias(f"{of}_size")), of)
+    first = F.col("x_size") <= F.col("y_size")
+    asked = pairs.select("x", "y", "x_size", "y_size", F.when(first, F.col("x")).otherwise(F.col("y")).alias("small"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("large"))
     found = asked.join(facts.withColumnRenamed("g", "small"), "small").join(facts.withColumnRenamed("g", "large"), ["large", "i"])
-    exact = found.groupBy("x", "y", "x_size", "y_size").agg(F.count("*").alias("xny"))
-    return exact.where(F.col("xny") >= least * F.least("x_size", "y_size")).select("x", "y", "x_size", "y_size", "xny")
+    return found.groupBy("x", "y", "x_size", "y_size").agg(F.count("*").alias("xny"))

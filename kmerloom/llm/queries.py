@@ -40,6 +40,22 @@ def p2_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.select("x_id", "y_id", F.round("x_size").cast("bigint").alias("x_size"), F.round("y_size").cast("bigint").alias("y_size"), F.round("xny").cast("bigint").alias("xny_ctx"), F.round("xny_error", 1).alias("xny_error"))
 
 
+def p2_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the estimates of ``p2_overlaps`` lie within four standard errors of exact counts."""
+    rows = _table(spark, folder, "group_sketch").where("taxid is not null and ctx is not null").select("taxid", "ctx").distinct()
+    estimates = p2_overlaps(spark, folder)
+    asked = estimates.select("x_id", "y_id")
+    sizes = rows.groupBy("taxid").agg(F.count("*").alias("n"))
+    both = asked.join(rows.withColumnRenamed("taxid", "x_id"), "x_id").join(rows.withColumnRenamed("taxid", "y_id"), ["y_id", "ctx"]).groupBy("x_id", "y_id").agg(F.count("*").alias("both"))
+    out = estimates.join(both, ["x_id", "y_id"], "left")
+    for of in ("x", "y"):
+        out = out.join(sizes.select(F.col("taxid").alias(f"{of}_id"), F.col("n").alias(f"{of}_true")), f"{of}_id", "left")
+    out = out.fillna(0, ["both", "x_true", "y_true"])
+    single = 4 * 1.04 / 64  # four standard errors of one set's size from 4,096 registers
+    close = [F.abs(F.col(f"{of}_size") - F.col(f"{of}_true")) <= 1 + single * F.col(f"{of}_true") for of in ("x", "y")]
+    return out.select("x_id", "y_id", (close[0] & close[1]).alias("sizes_close"), (F.abs(F.col("xny_ctx") - F.col("both")) <= 1 + 4 * F.col("xny_error")).alias("overlap_close"))
+
+
 def _values(spark: SparkSession, folder: str) -> DataFrame:
     """(genome, value) with the 44 bits of the context and the 20 of the object in one number."""
     low = F.lit((1 << 20) - 1).cast("bigint")
@@ -109,5 +125,5 @@ def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(_table(spark, folder, "documents"), "doc_id", "text", with_text=True).drop("followed")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_kept": p7_kept, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p2_checked": p2_checked, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_kept": p7_kept, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = oracle.SQL
