@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _OPEN: list[Scratch] = []
 
@@ -59,39 +59,42 @@ class Scratch:
         self.count += 1
         return f"{self.base}/{self.count:03d}-{label}"
 
-    def keep(self, df: DataFrame, label: str) -> DataFrame:
+    def keep(self, df: DataFrame, label: str, **measures: Column) -> DataFrame:
+        """The table written and read back; ``measured`` holds the rows and the given aggregates, taken while writing."""
         path = self.path(label)
-        df.write.option("compression", "zstd").parquet(path)
+        measured = self._write(df, path, measures)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        kept._scratch_path = path
+        kept._scratch_path, kept.measured = path, measured
         return kept
 
-    def split(self, df: DataFrame, flag: str, label: str) -> tuple[DataFrame, DataFrame]:
-        """Writes once and gives back the rows with and without the flag, without the flag's column."""
+    def split(self, df: DataFrame, flag: str, label: str, **measures: Column) -> tuple[DataFrame, DataFrame]:
+        """Writes once and gives back the rows with and without the flag, without the flag's column, both with their number."""
         path = self.path(label)
-        df.write.option("compression", "zstd").partitionBy(flag).parquet(path)
+        measured = self._write(df, path, measures | {"flagged": F.count_if(F.col(flag))}, flag)
         fields = [f for f in df.schema.fields if f.name != flag]
         schema = type(df.schema)(fields)
         parts = []
-        for value in ("true", "false"):
-            at = f"{path}/{flag}={value}"
-            if self._exists(at):
-                part = self.spark.read.schema(schema).parquet(at)
-                part._scratch_path = at
-                parts.append(part)
+        for value, rows in (("true", measured["flagged"]), ("false", measured["rows"] - measured["flagged"])):
+            if rows:
+                part = self.spark.read.schema(schema).parquet(f"{path}/{flag}={value}")
+                part._scratch_path = f"{path}/{flag}={value}"
             else:
-                parts.append(self.spark.createDataFrame([], schema))
+                part = self.spark.createDataFrame([], schema)
+            part.measured = measured | {"rows": rows}
+            parts.append(part)
         return parts[0], parts[1]
 
+    def _write(self, df: DataFrame, path: str, measures: dict[str, Column], flag: str | None = None) -> dict[str, int]:
+        seen = Observation()
+        writer = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[x.alias(name) for name, x in measures.items()]).write.option("compression", "zstd")
+        (writer.partitionBy(flag) if flag else writer).parquet(path)
+        return {name: x or 0 for name, x in seen.get.items()}
+
     def _fs(self, path: str):
         jvm = self.spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def _exists(self, path: str) -> bool:
-        fs, at = self._fs(path)
-        return fs.exists(at)
-
     def drop(self, *kept: DataFrame) -> None:
         for df in kept:
             path = getattr(df, "_scratch_path", None)
