@@ -3,10 +3,10 @@
 Each round strips the degree-one vertices and compresses the degree-two chains of what is left: list ranking (pointer
 doubling over the directed steps along a chain) gives every chain vertex both ends of its chain in log2(length) joins.
 A chain between two vertices of higher degree becomes one edge, one that ends in a leaf disappears, a path or ring of
-its own is solved. Rounds repeat until every vertex has three neighbours or more. That reduced core is solved by
-contracting each vertex into its smallest neighbour in a hash order, after which stripping goes on; a core of at
-most ``core_edges`` edges (a checked count) is solved in one task by union-find. Labels then return to the removed
-vertices, round by round in reverse.
+its own is solved. Rounds repeat, at any size, until every vertex has three neighbours or more. Only that reduced core is solved
+otherwise: by contracting each vertex into its smallest neighbour in a hash order, after which stripping goes on, or, where
+the core has at most ``core_edges`` edges (a checked count), in one task by union-find. Labels then return to the
+removed vertices, round by round in reverse.
 """
 
 from __future__ import annotations
@@ -35,11 +35,8 @@ def connected_groups(edges: DataFrame, left: str, right: str, core_edges: int =
     a, b = F.col(left).cast("bigint"), F.col(right).cast("bigint")
     graph = scratch.keep(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").where(a.isNotNull() & b.isNotNull()).distinct(), "edges")
     removed: list[DataFrame] = []
-    size = graph.count()
+    size = graph.measured["rows"]
     while size:
-        if removed and size <= core_edges:
-            removed.append(scratch.keep(graph.coalesce(1).mapInPandas(_union_find, "vertex bigint, up bigint, hung boolean"), "core"))
-            break
         graph, size, gone = _strip_and_compress(scratch, graph, size)
         if gone is not None:
             removed.append(gone)
@@ -52,13 +49,13 @@ def connected_groups(edges: DataFrame, left: str, right: str, core_edges: int =
     labels = edges.sparkSession.createDataFrame([], "vertex bigint, label bigint")
     for gone in reversed(removed):
         known = labels.select(F.col("vertex").alias("at"), F.col("label").alias("top"))
-        met = scratch.keep(hot_left_join(gone, known, "up", "at", gone.count()), "met")
+        met = scratch.keep(hot_left_join(gone, known, "up", "at", gone.measured["rows"]), "met")
         back = met.where("vertex <> up or top is null").select("vertex", F.coalesce("top", "up").alias("label"))
         alone = met.where("hung and top is null").select(F.col("up").alias("vertex"), F.col("up").alias("label")).distinct()  # it lost all its neighbours
         labels = labels.unionByName(back).unionByName(alone)
     labels = scratch.keep(labels, "all-labels")
     least = labels.groupBy("label").agg(F.min("vertex").alias("group")).withColumnRenamed("label", "of")
-    return hot_left_join(labels, least, "label", "of", labels.count()).select("vertex", "group")
+    return hot_left_join(labels, least, "label", "of", labels.measured["rows"]).select("vertex", "group")
 
 
 def _both_ways(graph: DataFrame) -> DataFrame:
@@ -69,14 +66,14 @@ def _strip_and_compress(scratch: Scratch, graph: DataFrame, size: int) -> tuple[
     """The graph without vertices of degree one and two, its edges' number, and (vertex, up) of those removed."""
     degrees = _both_ways(graph).groupBy("vertex").agg(F.count("*").alias("degree"), F.min("other").alias("low"), F.max("other").alias("high"))
     light = scratch.keep(degrees.where("degree <= 2"), "light")
-    if not light.limit(1).count():
+    if not light.measured["rows"]:
         scratch.drop(light)
         return graph, size, None
     ends = _chain_ends(scratch, light)
     gone = scratch.keep(
         ends.groupBy("vertex")
         .agg(F.min("anchor").alias("a"), F.max("anchor").alias("b"), F.min("least").alias("least"))
-        .select("vertex", F.coalesce("a", "least").alias("up"), "a", "b"),
+        .select("vertex", F.coalesce("a", "least").alias("up"), F.col("a").isNotNull().alias("hung"), "a", "b"),
         "removed",
     )
     ids = light.select(F.col("vertex").alias("id"))
@@ -84,7 +81,7 @@ def _strip_and_compress(scratch: Scratch, graph: DataFrame, size: int) -> tuple[
     bridges = gone.where("a < b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     rest = scratch.keep(kept.unionByName(bridges).distinct(), "edges")
     scratch.drop(graph, light)
-    return rest, rest.count(), gone.select("vertex", "up", F.col("a").isNotNull().alias("hung"))
+    return rest, rest.measured["rows"], gone
 
 
 def _chain_ends(scratch: Scratch, light: DataFrame) -> DataFrame:
@@ -95,11 +92,11 @@ def _chain_ends(scratch: Scratch, light: DataFrame) -> DataFrame:
     (the anchor). least is the smallest vertex passed, leaves included. A ring has no end: its steps are done when
     a round ends none and moves no minimum, for then the minimum is that of the whole ring.
     """
-    steps = light.select("vertex", "degree", "low", "high", F.explode(F.expr("if(degree = 2, array(low, high), array(low))")).alias("via"))
     ahead = light.select(F.col("vertex").alias("at"), F.col("degree").alias("n"), "low", "high")
-    steps = steps.select("vertex", "via")
+    steps = light.select("vertex", F.explode(F.expr("if(degree = 2, array(low, high), array(low))")).alias("via"))
     two = F.col("n") == 2
-    start = steps.join(ahead, steps["via"] == ahead["at"], "left").select(
+    # all leaves of a hub step to it
+    start = hot_left_join(steps, ahead, "via", "at").select(
         "vertex",
         "via",
         F.when(two, F.col("via")).otherwise(F.col("vertex")).alias("to"),
@@ -109,24 +106,25 @@ def _chain_ends(scratch: Scratch, light: DataFrame) -> DataFrame:
         (~F.coalesce(two, F.lit(False))).alias("done"),
     )
     done, running = scratch.split(start, "done", "steps")
-    open_steps = running.count()
+    open_steps = running.measured["rows"]
     while open_steps:
         moved = None
         for _ in range(2):
             ahead = done.select("vertex", "via", "to", "to_via", "least", "anchor", F.lit(True).alias("end")).unionByName(running.select("vertex", "via", "to", "to_via", "least", "anchor", F.lit(False).alias("end")))
             ahead = ahead.select(F.col("vertex").alias("f"), F.col("via").alias("g"), F.col("to").alias("h"), F.col("to_via").alias("i"), F.col("least").alias("l"), F.col("anchor").alias("a"), "end")
             step = running.join(ahead, (running["to"] == ahead["f"]) & (running["to_via"] == ahead["g"])).select(
-                "vertex", "via", F.col("h").alias("to"), F.col("i").alias("to_via"), F.least("least", "l").alias("least"), F.col("a").alias("anchor"), F.col("end").alias("done"), (F.col("least") != F.col("l")).alias("moved")
+                "vertex", "via", F.col("h").alias("to"), F.col("i").alias("to_via"), F.least("least", "l").alias("least"), F.col("a").alias("anchor"), F.col("end").alias("done"), F.col("least").alias("was")
             )
-            ended, running = scratch.split(step, "done", "steps")
-            moved = running
-            running = running.drop("moved")
-            done = done.unionByName(ended.drop("moved"))
-            before, open_steps = open_steps, running.count()
+            passed = running
+            ended, running = scratch.split(step, "done", "steps", moved=F.count_if(F.col("least") < F.col("was")))
+            scratch.drop(passed)
+            moved = running.measured["moved"]
+            done = done.unionByName(ended.drop("was"))
+            before, open_steps = open_steps, running.measured["rows"]
             if not open_steps or open_steps == before:
                 break
-        if open_steps and open_steps == before and not moved.where("moved").limit(1).count():
-            done = done.unionByName(running)
+        if open_steps and open_steps == before and not moved:
+            done = done.unionByName(running.drop("was"))
             break
     return done.select("vertex", "anchor", "least")
 
@@ -141,19 +139,18 @@ def _contract(scratch: Scratch, graph: DataFrame) -> tuple[DataFrame, int, DataF
     up = scratch.keep(best.select("vertex", F.least(F.col("o"), _order(F.col("vertex")))["id"].alias("up")), "up")
     while True:
         ahead = up.select(F.col("vertex").alias("at"), F.col("up").alias("top"))
-        step = scratch.keep(hot_left_join(up, ahead, "up", "at", up.count()).select("vertex", F.col("top").alias("up"), (F.col("up") != F.col("top")).alias("moved")), "up")
-        scratch.drop(up)
-        moved, path = step.where("moved").limit(1).count(), step._scratch_path
-        up = step.drop("moved")
-        up._scratch_path = path
-        if not moved:
+        step = hot_left_join(up, ahead, "up", "at", up.measured["rows"]).select("vertex", F.col("top").alias("up"), F.col("up").alias("was"))
+        before, up = up, scratch.keep(step, "up", moved=F.count_if(F.col("up") != F.col("was")))
+        scratch.drop(before)
+        if not up.measured["moved"]:
             break
+    up = scratch.keep(up.select("vertex", "up", F.lit(False).alias("hung")), "up")
     names = up.select(F.col("vertex").alias("at"), F.col("up").alias("top"))
-    one = scratch.keep(hot_left_join(graph, names, "u", "at", graph.count()).select(F.col("top").alias("u"), "v"), "half")
-    both = hot_left_join(one, names, "v", "at", one.count()).select("u", F.col("top").alias("v"))
+    one = scratch.keep(hot_left_join(graph, names, "u", "at", graph.measured["rows"]).select(F.col("top").alias("u"), "v"), "half")
+    both = hot_left_join(one, names, "v", "at", one.measured["rows"]).select("u", F.col("top").alias("v"))
     rest = scratch.keep(both.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     scratch.drop(graph, one)
-    return rest, rest.count(), up.withColumn("hung", F.lit(False))
+    return rest, rest.measured["rows"], up
 
 
 def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
