@@ -2,12 +2,9 @@
 
 One peel round removes every *pendant chain*: a leaf and the run of only-child ancestors above it. The run is found
 by list ranking (pointer doubling down the only-child links), so a branch of depth d costs log2(d) joins instead of
-d rounds; each round at least halves the number of leaves, so there are at most log2(leaves) rounds. Every chain
-sends its subtree size to the parent of its top. What is never peeled lies on a loop. The reverse pass visits the
-rounds from last to first and hands paths, depths and roots from a chain's parent to the chain.
-
-Once a round has left no more than ``finish_rows`` nodes (a checked count, so the size of that task is bounded), one
-task peels them leaf by leaf with the same result.
+d rounds; each round at least halves the number of leaves, so there are at most log2(leaves) rounds, at any size of the
+table. Every chain sends its subtree size to the parent of its top. What is never peeled lies on a loop. The reverse
+pass visits the rounds from last to first and hands roots, depths and paths from a chain's parent to the chain.
 
 A node's descendant list is kept as the rows in which it occurs on a path (``descendants``): a root may have a
 third of all nodes below it, which is no size for one row.
@@ -15,12 +12,9 @@ third of all nodes below it, which is no size for one row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kmerloom.operators.skew import hot_left_join
+from kmerloom.operators.skew import SALTS, hot_left_join
 from kmerloom.session import Scratch
 
 SCHEMA = "node bigint, parent bigint, root bigint, depth int, path array<bigint>, n_descendants bigint, loop_node bigint"
@@ -38,112 +32,53 @@ def clean_rank(text: Column) -> Column:
     return F.when(plain == "sp.", "species").when(plain == "fam.", "family").when(plain == "gen.", "genus").otherwise(plain)
 
 
-def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", finish_rows: int = 100_000) -> DataFrame:
+def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", paths: bool = True, on_path: Column | None = None) -> DataFrame:
     """One row per distinct node: parent, root, depth, path, number of descendants, loop.
 
     ``node`` and ``parent`` are integer columns; other columns are ignored. Rows with a null node are dropped, a node
     with several rows counts once (with several parents, the smallest counts). A node whose parent is null, itself or
     not listed is a root (depth 0, path of itself). A node whose chain of parents runs into a loop of two or more
     nodes has ``loop_node`` (the smallest node on the loop) and null root, depth and path; on the loop itself
-    ``n_descendants`` is null as well. An empty input gives an empty result. Paths run from the root to the node.
+    ``n_descendants`` is null as well. An empty input gives an empty result. Paths run from the root to the node. They hold
+    only nodes with a row for which ``on_path`` is true, if it is given, and are null without ``paths``: as long as the tree
+    is deep, they are most of the work.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
+    mark = F.lit(True) if on_path is None else F.coalesce(on_path, F.lit(False))
     left = scratch.keep(
-        links.select(F.col(node).cast("bigint").alias("node"), F.col(parent).cast("bigint").alias("parent"))
+        links.select(F.col(node).cast("bigint").alias("node"), F.col(parent).cast("bigint").alias("parent"), mark.alias("mark"))
         .where("node is not null")
         .groupBy("node")
-        .agg(F.min("parent").alias("parent"))
-        .select("node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"), F.lit(1).cast("bigint").alias("weight")),
+        .agg(F.min("parent").alias("parent"), F.bool_or("mark").alias("mark"))
+        .select("node", F.when(F.col("parent") != F.col("node"), F.col("parent")).alias("parent"), "mark", F.lit(1).cast("bigint").alias("weight")),
         "nodes",
     )
     peeled: list[DataFrame] = []
-    remaining = left.count()
-    while remaining and not (peeled and remaining <= finish_rows):
+    while left.measured["rows"]:
         chains = _pendant_chains(scratch, left)
-        n = chains.count()
-        if not n:
+        if not chains.measured["rows"]:
             break
         tops = chains.groupBy("chain").agg(F.max(F.struct("hops", "parent", "size")).alias("top")).select("top.parent", "top.size")
         sent = tops.where("parent is not null").groupBy("parent").agg(F.sum("size").alias("sent")).withColumnRenamed("parent", "to")
         rest = left.join(chains.select("node"), "node", "left_anti")
-        rest = rest.join(sent, rest["node"] == sent["to"], "left").select("node", "parent", (F.col("weight") + F.coalesce("sent", F.lit(0))).alias("weight"))
+        rest = rest.join(sent, rest["node"] == sent["to"], "left").select("node", "parent", "mark", (F.col("weight") + F.coalesce("sent", F.lit(0))).alias("weight"))
         before, left = left, scratch.keep(rest, "left")
         scratch.drop(before)
         peeled.append(chains)
-        remaining -= n
-    if not remaining:
-        known = spark.createDataFrame([], SCHEMA)
-    elif remaining <= finish_rows:
-        known = scratch.keep(left.coalesce(1).mapInPandas(_finish, SCHEMA), "finished")
-    else:
-        known = _loops(scratch, left)
+    known = _loops(scratch, left) if left.measured["rows"] else spark.createDataFrame([], SCHEMA)
     for chains in reversed(peeled):
-        known = known.unionByName(scratch.keep(_assign(scratch, chains, known), "assigned"))
+        known = known.unionByName(scratch.keep((_assign_paths if paths else _assign)(scratch, chains, known), "assigned"))
         scratch.drop(chains)
     return known
 
 
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rest of the peeling in one task: leaves first, then paths in reverse peel order, what is left on loops."""
-    frames = list(batches)
-    if not frames:
-        return
-    rows = pd.concat(frames)
-    parent = {int(n): None if pd.isna(p) else int(p) for n, p in zip(rows["node"], rows["parent"], strict=True)}
-    size = dict(zip(map(int, rows["node"]), map(int, rows["weight"]), strict=True))
-    kids = dict.fromkeys(parent, 0)
-    for above in parent.values():
-        if above in kids:
-            kids[above] += 1
-    order = [n for n, k in kids.items() if not k]
-    for n in order:  # grows as parents lose their last child
-        above = parent[n]
-        if above in kids:
-            size[above] += size[n]
-            kids[above] -= 1
-            if not kids[above]:
-                order.append(above)
-    done: dict[int, tuple] = {}
-    for start in parent.keys() - set(order):
-        if start not in done:
-            loop, at = [], start
-            while at not in loop[:1]:
-                loop.append(at)
-                at = parent[at]
-            done |= dict.fromkeys(loop, (None, None, min(loop)))
-    out = [(n, parent[n], None, None, None, None, found[2]) for n, found in done.items()]
-    held = 0
-    for n in reversed(order):
-        root, depth, loop = done.get(parent[n], (n, -1, None))
-        done[n] = (None, None, loop) if loop is not None else (root, depth + 1, None)
-        out.append((n, parent[n], *done[n][:2], None if loop is not None else _path(parent, n, depth + 1), size[n] - 1, loop))
-        held += 1 if loop is not None else depth + 2
-        if held >= 200_000:
-            held = 0
-            yield _frame(out)
-            out = []
-    yield _frame(out)
-
-
-def _path(parent: dict[int, int | None], node: int, depth: int) -> list[int]:
-    path = [node]
-    for _ in range(depth):
-        path.append(parent[path[-1]])
-    return path[::-1]
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["node", "parent", "root", "depth", "path", "n_descendants", "loop_node"])
-    return frame.astype({"node": "Int64", "parent": "Int64", "root": "Int64", "depth": "Int32", "n_descendants": "Int64", "loop_node": "Int64"})
-
-
 def _pendant_chains(scratch: Scratch, left: DataFrame) -> DataFrame:
-    """(node, parent, chain, hops, size): every leaf and only-child ancestor of a leaf; chain is the leaf."""
+    """(node, parent, mark, chain, hops, size): every leaf and only-child ancestor of a leaf; chain is the leaf."""
     kids = left.where("parent is not null").groupBy("parent").agg(F.count("*").alias("kids"), F.max("node").alias("only")).withColumnRenamed("parent", "of")
-    state = left.join(kids, left["node"] == kids["of"], "left").select("node", "parent", "weight", F.coalesce("kids", F.lit(0)).alias("kids"), "only")
+    state = left.join(kids, left["node"] == kids["of"], "left").select("node", "parent", "mark", "weight", F.coalesce("kids", F.lit(0)).alias("kids"), "only")
     state = scratch.keep(state.where("kids < 2"), "state")
-    leaves = state.where("kids = 0").select("node", "parent", F.col("node").alias("chain"), F.lit(0).cast("bigint").alias("hops"), F.col("weight").alias("size"))
+    leaves = state.where("kids = 0").select("node", "parent", "mark", F.col("node").alias("chain"), F.lit(0).cast("bigint").alias("hops"), F.col("weight").alias("size"))
     below = state.select(F.col("node").alias("next"), F.col("kids").alias("next_kids"), F.col("weight").alias("next_weight"))
     start = (
         state.where("kids = 1")
@@ -151,6 +86,7 @@ def _pendant_chains(scratch: Scratch, left: DataFrame) -> DataFrame:
         .select(
             "node",
             "parent",
+            "mark",
             F.col("only").alias("next"),
             F.lit(1).cast("bigint").alias("hops"),
             (F.col("weight") + F.when(F.col("next_kids") == 0, F.col("next_weight")).otherwise(0)).alias("size"),
@@ -159,23 +95,26 @@ def _pendant_chains(scratch: Scratch, left: DataFrame) -> DataFrame:
         )
     )
     done, running = scratch.split(start, "done", "ranks")
-    while (before := running.count()) > 0:
+    while before := running.measured["rows"]:
         table = done.unionByName(running)
         ahead = table.select(F.col("node").alias("at"), F.col("next").alias("to"), F.col("hops").alias("more"), F.col("size").alias("add"), F.col("leaf").alias("is_leaf"))
         step = running.join(ahead, running["next"] == ahead["at"]).select(
             "node",
             "parent",
+            "mark",
             F.col("to").alias("next"),
             (F.col("hops") + F.col("more")).alias("hops"),
             (F.col("size") + F.col("add")).alias("size"),
             F.col("is_leaf").alias("leaf"),
             F.col("is_leaf").isNotNull().alias("done"),
         )
+        passed = running
         ended, running = scratch.split(step, "done", "ranks")
+        scratch.drop(passed)
         done = done.unionByName(ended)
-        if running.count() == before:
+        if running.measured["rows"] == before:
             break  # no run ended, so all that are left go round a loop
-    inner = done.where("leaf").select("node", "parent", F.col("next").alias("chain"), "hops", "size")
+    inner = done.where("leaf").select("node", "parent", "mark", F.col("next").alias("chain"), "hops", "size")
     kept = scratch.keep(leaves.unionByName(inner), "chains")
     scratch.drop(state)
     return kept
@@ -186,41 +125,56 @@ def _loops(scratch: Scratch, rest: DataFrame) -> DataFrame:
     ring = scratch.keep(rest.select("node", "parent", F.col("parent").alias("next"), F.col("node").alias("least")), "ring")
     while True:
         ahead = ring.select(F.col("node").alias("at"), F.col("next").alias("to"), F.col("least").alias("other"))
-        step = ring.join(ahead, ring["next"] == ahead["at"]).select("node", "parent", F.col("to").alias("next"), F.least("least", "other").alias("least"), (F.col("least") != F.col("other")).alias("moved"))
-        kept = scratch.keep(step, "ring")
-        scratch.drop(ring)
-        moved, ring = kept.where("moved").limit(1).count(), kept.drop("moved")
-        ring._scratch_path = kept._scratch_path
-        if not moved:
+        step = ring.join(ahead, ring["next"] == ahead["at"]).select("node", "parent", F.col("to").alias("next"), F.least("least", "other").alias("least"), F.col("least").alias("was"))
+        before, ring = ring, scratch.keep(step, "ring", moved=F.count_if(F.col("least") < F.col("was")))
+        scratch.drop(before)
+        if not ring.measured["moved"]:
             break
     null = lambda kind: F.lit(None).cast(kind)
     return ring.select("node", "parent", null("bigint").alias("root"), null("int").alias("depth"), null("array<bigint>").alias("path"), null("bigint").alias("n_descendants"), F.col("least").alias("loop_node"))
 
 
+def _above(known: DataFrame, *paths: Column) -> DataFrame:
+    return known.select(F.col("node").alias("above"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("loop_node").alias("a_loop"), *paths)
+
+
 def _assign(scratch: Scratch, chains: DataFrame, known: DataFrame) -> DataFrame:
-    """Paths, depths and roots of one round's chains from those of the nodes that they hang on."""
+    """Depths, roots and loops of one round's chains from those of the nodes that they hang on: as rows, however long a chain is."""
+    tops = chains.groupBy("chain").agg(F.max(F.struct("hops", "node", "parent")).alias("top")).select("chain", F.col("top.hops").alias("top_hops"), F.col("top.node").alias("top"), F.col("top.parent").alias("hangs_on"))
+    tops = scratch.keep(tops, "tops")
+    met = hot_left_join(tops, _above(known), "hangs_on", "above", tops.measured["rows"]).withColumnRenamed("chain", "of")
+    rows = hot_left_join(chains, met, "chain", "of", chains.measured["rows"])
+    free = F.col("a_loop").isNull()
+    return rows.select(
+        "node",
+        "parent",
+        F.when(free, F.coalesce("a_root", "top")).alias("root"),
+        F.when(free, F.coalesce(F.col("a_depth") + 1, F.lit(0)) + F.col("top_hops") - F.col("hops")).cast("int").alias("depth"),
+        F.lit(None).cast("array<bigint>").alias("path"),
+        (F.col("size") - 1).alias("n_descendants"),
+        F.col("a_loop").alias("loop_node"),
+    )
+
+
+def _assign_paths(scratch: Scratch, chains: DataFrame, known: DataFrame) -> DataFrame:
+    """As ``_assign``, with paths. A chain is gathered in one row, which is no longer than the path of its lowest node."""
     runs = scratch.keep(
         chains.groupBy("chain")
-        .agg(F.sort_array(F.collect_list(F.struct("hops", "node", "parent", "size")), asc=False).alias("run"))
-        .select(F.col("run")[0]["parent"].alias("hangs_on"), F.transform("run", lambda x: F.struct(x["node"].alias("node"), x["parent"].alias("parent"), x["size"].alias("size"))).alias("run")),
+        .agg(F.sort_array(F.collect_list(F.struct("hops", "node", "parent", "size", "mark")), asc=False).alias("run"))
+        .select(F.col("run")[0]["parent"].alias("hangs_on"), F.transform("run", lambda x: x.dropFields("hops")).alias("run")),
         "runs",
     )
-    above = known.select(F.col("node").alias("above"), F.col("root").alias("a_root"), F.col("depth").alias("a_depth"), F.col("path").alias("a_path"), F.col("loop_node").alias("a_loop"))
-    met = hot_left_join(runs, above, "hangs_on", "above", runs.count())
-    nodes = F.transform("run", lambda x: x["node"])
+    met = hot_left_join(runs, _above(known, F.col("path").alias("a_path")), "hangs_on", "above", runs.measured["rows"], salts=SALTS)
+    marked = lambda run: F.transform(F.filter(run, lambda x: x["mark"]), lambda x: x["node"])
     free = F.col("a_loop").isNull()
-    return (
-        met.select("*", nodes.alias("nodes"))
-        .select("a_root", "a_depth", "a_path", "a_loop", "nodes", F.posexplode("run").alias("i", "x"))
-        .select(
-            F.col("x.node").alias("node"),
-            F.col("x.parent").alias("parent"),
-            F.when(free, F.coalesce("a_root", F.col("nodes")[0])).alias("root"),
-            F.when(free, F.coalesce(F.col("a_depth") + 1, F.lit(0)) + F.col("i")).cast("int").alias("depth"),
-            F.when(free, F.concat(F.coalesce("a_path", F.array().cast("array<bigint>")), F.slice("nodes", F.lit(1), F.col("i") + 1))).alias("path"),
-            (F.col("x.size") - 1).alias("n_descendants"),
-            F.col("a_loop").alias("loop_node"),
-        )
+    return met.select("a_root", "a_depth", "a_path", "a_loop", "run", F.posexplode("run").alias("i", "x")).select(
+        F.col("x.node").alias("node"),
+        F.col("x.parent").alias("parent"),
+        F.when(free, F.coalesce("a_root", F.col("run")[0]["node"])).alias("root"),
+        F.when(free, F.coalesce(F.col("a_depth") + 1, F.lit(0)) + F.col("i")).cast("int").alias("depth"),
+        F.when(free, F.concat(F.coalesce("a_path", F.array().cast("array<bigint>")), marked(F.slice("run", F.lit(1), F.col("i") + 1)))).alias("path"),
+        (F.col("x.size") - 1).alias("n_descendants"),
+        F.col("a_loop").alias("loop_node"),
     )
 
 

@@ -36,10 +36,12 @@ def relative_abundance(rows: DataFrame, sample: str, depth: str) -> DataFrame:
 def roll_up(abundances: DataFrame, nodes: DataFrame, sample: str = "sample", taxon: str = "taxid", value: str = "percentage", ranks: tuple[str, ...] = RANKS) -> DataFrame:
     """(sample, rank, taxid, value): every abundance summed at each of its ancestors of the listed ranks.
 
-    ``nodes`` has node, parent and rank; the path to the root comes from ``hierarchy``, however deep it is.
+    ``nodes`` has node, parent and rank; the ranked nodes above a taxon come from ``hierarchy``, however deep it is.
     """
-    tree = hierarchy(nodes).where("path is not null").select("node", F.explode("path").alias("above"))
-    at = nodes.where(F.col("rank").isin(*ranks)).groupBy(F.col("node").alias("above")).agg(F.min("rank").alias("rank"))
+    ranked = F.col("rank").isin(*ranks)
+    asked = abundances.select(F.col(taxon).cast("bigint").alias("node")).distinct()
+    tree = hierarchy(nodes, on_path=ranked).where("path is not null").join(asked, "node", "left_semi").select("node", F.explode("path").alias("above"))
+    at = nodes.where(ranked).groupBy(F.col("node").alias("above")).agg(F.min("rank").alias("rank"))
     lines = tree.join(at, "above").groupBy("node").agg(F.collect_set(F.struct("rank", "above")).alias("line")).withColumnRenamed("node", "of")
     met = hot_left_join(abundances.select(F.col(sample).alias("sample"), F.col(taxon).alias("taxon"), F.col(value).alias("value")), lines, "taxon", "of")
     return met.select("sample", "value", F.explode("line").alias("x")).groupBy("sample", "x.rank", F.col("x.above").alias("taxid")).agg(F.sum("value").alias("value"))

@@ -15,7 +15,7 @@ def _links(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes whose chain of parents runs into a loop."""
-    return hierarchy(_links(spark, folder)).where("loop_node is not null").select("node", "loop_node")
+    return hierarchy(_links(spark, folder), paths=False).where("loop_node is not null").select("node", "loop_node")
 
 
 def p3_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
