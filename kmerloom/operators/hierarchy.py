@@ -96,18 +96,20 @@ def _pendant_chains(scratch: Scratch, left: DataFrame) -> DataFrame:
     )
     done, running = scratch.split(start, "done", "ranks")
     while before := running.measured["rows"]:
-        table = done.unionByName(running)
-        ahead = table.select(F.col("node").alias("at"), F.col("next").alias("to"), F.col("hops").alias("more"), F.col("size").alias("add"), F.col("leaf").alias("is_leaf"))
-        step = running.join(ahead, running["next"] == ahead["at"]).select(
-            "node",
-            "parent",
-            "mark",
-            F.col("to").alias("next"),
-            (F.col("hops") + F.col("more")).alias("hops"),
-            (F.col("size") + F.col("add")).alias("size"),
-            F.col("is_leaf").alias("leaf"),
-            F.col("is_leaf").isNotNull().alias("done"),
-        )
+        table = done.unionByName(running).select(F.col("node").alias("at"), F.col("next").alias("to"), F.col("hops").alias("more"), F.col("size").alias("add"), F.col("leaf").alias("is_leaf"))
+        step = running.withColumn("done", F.lit(False))
+        for _ in range(2):  # two steps in one job, each doubling the length
+            ends = F.coalesce(F.col("done"), F.lit(True))
+            step = step.join(table, (step["next"] == table["at"]) & ~step["done"], "left").select(
+                "node",
+                "parent",
+                "mark",
+                F.when(ends, F.col("next")).otherwise(F.col("to")).alias("next"),
+                F.when(ends, F.col("hops")).otherwise(F.col("hops") + F.col("more")).alias("hops"),
+                F.when(ends, F.col("size")).otherwise(F.col("size") + F.col("add")).alias("size"),
+                F.when(ends, F.col("leaf")).otherwise(F.col("is_leaf")).alias("leaf"),
+                (ends | F.col("is_leaf").isNotNull()).alias("done"),
+            )
         passed = running
         ended, running = scratch.split(step, "done", "ranks")
         scratch.drop(passed)
