@@ -74,7 +74,10 @@ def ani_table(queries: DataFrame, refs: DataFrame, least_fraction: float = 0.3,
 
 
 def ranked(table: DataFrame, by: str = "rough_ani") -> DataFrame:
-    """The rows with their place within the query: best first, ties by the query's align fraction, then the reference."""
+    """The rows with their place within the query: best first, ties by the query's align fraction, then the reference.
+
+    The indexed way ranks by ``rough_ani``, the other by ``ani``.
+    """
     return table.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(by), F.desc("af_qry"), "r")))
 
 

@@ -42,6 +42,11 @@ def composition(samples: DataFrame, refs: DataFrame, least_shared: int = LEAST_S
     ).select("q", "r", F.col("m").alias("shared"), (F.col("total") / m).alias("mean"), (F.col("upper") / F.floor(m * HIGH - first + 1)).alias("pct98_99"), "median", "max")
 
 
+def ranked(composed: DataFrame) -> DataFrame:
+    """The rows with their place within the sample: most shared keys first, ties by the reference."""
+    return composed.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("shared"), "r")))
+
+
 def abundance_vectors(composed: DataFrame, least_shared: int = LEAST_SHARED) -> DataFrame:
     """(sample, ref_idx, pct): (x - 1) * 100 / (sum of x - n) of the pairs with a median above 1 and more than least_shared + 1 keys."""
     passed = composed.where((F.col("median") > 1) & (F.col("shared") > least_shared + 1))
@@ -66,5 +71,10 @@ def search_vectors(queries: DataFrame, index: DataFrame, measure: str) -> DataFr
         a, b = vector_norms(queries), vector_norms(index)
         sums = sums.join(a.select(F.col("sample").alias("q"), F.col("norm").alias("nq")), "q").join(b.select("sample", F.col("norm").alias("ns")), "sample")
     value = {"l1": F.col("d1") + 200 - F.col("sx") - F.col("sy"), "l2": F.sqrt("d2"), "cosine": F.expr("dot / nullif(nq * ns, 0)") if measure == "cosine" else None}[measure]
-    out = sums.select("q", "sample", value.alias("measure"))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("measure") if measure == "cosine" else F.asc("measure"), "sample")))
+    return placed(sums.select("q", "sample", value.alias("measure")), measure)
+
+
+def placed(found: DataFrame, measure: str) -> DataFrame:
+    """Adds place: 1 is the most similar sample of a query, ties go to the smaller sample."""
+    best = F.desc("measure") if measure == "cosine" else F.asc("measure")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(best, "sample")))

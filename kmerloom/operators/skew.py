@@ -17,15 +17,15 @@ def list_block(ids: Column) -> Column:
     return F.shiftright(ids.cast("bigint"), LIST_BITS)
 
 
-def with_sum_before(rows: DataFrame, value: str, order: str, by: tuple[str, ...] = (), name: str = "before", width: int = 4096) -> DataFrame:
-    """Adds the sum of ``value`` over the rows of the same ``by`` with a smaller ``order`` (integers, unique within ``by``).
+def with_sum_before(rows: DataFrame, value: str, order: str, by: tuple[str, ...] = (), name: str = "before", width: int = 4096, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the sum of ``value`` over the rows of the same ``by`` with a smaller ``order`` (integers; with ``ties`` unique within ``by``).
 
     Runs of ``width`` orders are summed first, so that a window sees the rows of one run, or one row per run.
     """
     cut = rows.withColumn("__run", F.floor(F.col(order) / width))
     runs = cut.groupBy(*by, "__run").agg(F.sum(value).alias("__n"))
     starts = runs.select(*by, "__run", (F.sum("__n").over(Window.partitionBy(*by).orderBy("__run")) - F.col("__n")).alias("__start"))
-    inner = F.sum(value).over(Window.partitionBy(*by, "__run").orderBy(order)) - F.col(value)
+    inner = F.sum(value).over(Window.partitionBy(*by, "__run").orderBy(order, *ties)) - F.col(value)
     return cut.withColumn("__inner", inner).join(starts, [*by, "__run"]).select(*rows.columns, (F.col("__start") + F.col("__inner")).alias(name))
 
 

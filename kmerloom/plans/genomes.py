@@ -19,13 +19,13 @@ K = 32
 LOW = (1 << OBJECT_BITS) - 1
 
 
-def _records(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record, whatever was redelivered, without white space."""
+def records_of(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per record, whatever was redelivered, without white space. Sequences aren't sorted: a redelivered one is the same."""
     rows = table(spark, folder, "command_sketch").where("rec_id is not null")
-    return rows.groupBy("rec_id").agg(F.max("genome_id").alias("genome_id"), F.max(F.regexp_replace("seq", r"\s", "")).alias("seq"))
+    return rows.groupBy("rec_id").agg(F.max("genome_id").alias("genome_id"), F.first(F.regexp_replace("seq", r"\s", ""), ignorenulls=True).alias("seq"))
 
 
-def _keys(spark: SparkSession, folder: str) -> DataFrame:
+def keys_of(spark: SparkSession, folder: str) -> DataFrame:
     """(genome_id, ctxobj, cnt) of the sketch table: distinct values with their highest count."""
     low = F.lit(LOW).cast("bigint")
     key = F.col("ctxgid").bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.col("obj").cast("bigint"))
@@ -33,7 +33,7 @@ def _keys(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.col("ctxgid").bitwiseAND(low).alias("genome_id"), key.alias("ctxobj")).agg(F.max(F.coalesce("cnt", F.lit(1))).cast("bigint").alias("cnt"))
 
 
-def _asked(keys: DataFrame) -> DataFrame:
+def asked(keys: DataFrame) -> DataFrame:
     return keys.where("genome_id % 50 = 0")
 
 
@@ -43,11 +43,11 @@ def _index(keys: DataFrame) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    keys = _keys(spark, folder)
-    return distance.sized_overlaps(_asked(keys), keys)
+    keys = keys_of(spark, folder)
+    return distance.sized_overlaps(asked(keys), keys)
 
 
-def _rounded(rows: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+def rounded(rows: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return rows.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
 
 
@@ -57,27 +57,27 @@ def _taxa(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sketch_plain(spark, folder):
-    return sketching.sketch(_records(spark, folder), PLAIN)
+    return sketching.sketch(records_of(spark, folder), PLAIN)
 
 
 def sketch_patterned(spark, folder):
-    return sketching.sketch(_records(spark, folder), PATTERNED)
+    return sketching.sketch(records_of(spark, folder), PATTERNED)
 
 
 def sketch_coden(spark, folder):
-    return sketching.sketch(_records(spark, folder), CODEN)
+    return sketching.sketch(records_of(spark, folder), CODEN)
 
 
 def sketch_records(spark, folder):
-    return sketching.sketch_by_record(_records(spark, folder), PLAIN, "rec_id")
+    return sketching.sketch_by_record(records_of(spark, folder), PLAIN, "rec_id")
 
 
 def sketch_repeated(spark, folder):
-    return sketching.sketch(_records(spark, folder), SketchParams(half_context=4, fold=2, least_count=2))
+    return sketching.sketch(records_of(spark, folder), SketchParams(half_context=4, fold=2, least_count=2))
 
 
 def sketch_legacy(spark, folder):
-    return legacy.legacy_keys(_records(spark, folder), 8, 4, 1, seed=11)
+    return legacy.legacy_keys(records_of(spark, folder), 8, 4, 1, seed=11)
 
 
 def reverse_kmers(spark, folder):
@@ -85,131 +85,189 @@ def reverse_kmers(spark, folder):
 
 
 def inverted_index(spark, folder):
-    return _index(_keys(spark, folder))
+    return _index(keys_of(spark, folder))
 
 
 def index_summary(spark, folder):
-    return sketching.index_summary(_index(_keys(spark, folder)))
+    return sketching.index_summary(_index(keys_of(spark, folder)))
 
 
 def sketch_sizes(spark, folder):
-    return setops.sizes(_keys(spark, folder), table(spark, folder, "genomes"))
+    return setops.sizes(keys_of(spark, folder), table(spark, folder, "genomes"))
 
 
 def set_union(spark, folder):
-    return setops.union(_keys(spark, folder))
+    return setops.union(keys_of(spark, folder))
 
 
 def set_unique_union(spark, folder):
-    return setops.unique_union(_keys(spark, folder))
+    return setops.unique_union(keys_of(spark, folder))
 
 
 def set_markers(spark, folder):
-    return setops.markers(_keys(spark, folder))
+    return setops.markers(keys_of(spark, folder))
 
 
 def set_intersect(spark, folder):
-    keys = _keys(spark, folder)
-    return setops.intersect(keys, setops.union(_asked(keys)))
+    keys = keys_of(spark, folder)
+    return setops.intersect(keys, setops.unique_union(keys))
 
 
 def set_subtract(spark, folder):
-    keys = _keys(spark, folder)
-    return setops.subtract(keys, setops.union(_asked(keys)))
+    keys = keys_of(spark, folder)
+    return setops.subtract(keys, setops.unique_union(keys))
 
 
 def set_group_union(spark, folder):
-    return setops.group_union(_keys(spark, folder), _taxa(spark, folder))
+    return setops.group_union(keys_of(spark, folder), _taxa(spark, folder))
 
 
 def set_key_listing(spark, folder):
-    return setops.key_listing(_keys(spark, folder))
+    return setops.key_listing(keys_of(spark, folder))
 
 
 def set_combine(spark, folder):
-    keys = _keys(spark, folder)
-    return setops.combine(setops.union(_asked(keys)), setops.unique_union(keys))
+    keys = keys_of(spark, folder)
+    return setops.combine(setops.union(keys), setops.unique_union(keys))
 
 
 def conflict_free(spark, folder):
-    return sketching.without_conflicts(_keys(spark, folder), OBJECT_BITS)
+    return sketching.without_conflicts(keys_of(spark, folder), OBJECT_BITS)
 
 
 def dist_similarity(spark, folder):
-    return _rounded(distance.similarities(_pairs(spark, folder), K), "jaccard", "containment", "mash", "aaf")
+    return rounded(distance.similarities(_pairs(spark, folder), K), "jaccard", "containment", "mash", "aaf")
 
 
 def dist_corrected(spark, folder):
     out = distance.sampled_distance(_pairs(spark, folder), K, 18, correction=True)
-    return _rounded(out, "rs", "metric", "dist", "sd", "metric_low", "metric_high", "dist_low", "dist_high")
+    return rounded(out, "rs", "metric", "dist", "sd", "metric_low", "metric_high", "dist_low", "dist_high")
 
 
 def dist_containment(spark, folder):
     out = distance.sampled_distance(_pairs(spark, folder), K, containment="qry", limit=0.2)
-    return _rounded(out, "rs", "metric", "dist", "sd", "metric_low", "metric_high", "dist_low", "dist_high")
+    return rounded(out, "rs", "metric", "dist", "sd", "metric_low", "metric_high", "dist_low", "dist_high")
 
 
 def dist_p_values(spark, folder):
-    out = distance.with_p_values(distance.sampled_distance(_pairs(spark, folder), K), 1_000_000)
-    return out.select("q", "r", "shared", "metric", "dist", "p", "q_value")
+    """P values as negative logarithms, null where they are below 1e-290; the number of comparisons is queries times references."""
+    keys = distance.distinct_keys(keys_of(spark, folder), "keys")
+    genomes = keys.select("genome_id").distinct()
+    comparisons = genomes.where("genome_id % 50 = 0").count() * genomes.count()
+    out = distance.with_p_values(distance.sampled_distance(distance.sized_overlaps(asked(keys), keys), K), comparisons)
+    power = F.when(F.col("p") > 1e-290, -F.log10("p"))
+    return rounded(out.select("q", "r", "shared", "metric", "dist", power.alias("p_power"), F.when(F.col("p") > 1e-290, -F.log10("q_value")).alias("q_power")), "metric", "dist", "p_power", "q_power", digits=5)
 
 
 def dist_nearest(spark, folder):
     near = distance.nearest(distance.similarities(_pairs(spark, folder), K), "jaccard", 5)
-    return _rounded(near.select("q", "r", "shared", "jaccard", "place"), "jaccard")
+    return rounded(near.select("q", "r", "shared", "jaccard", "place"), "jaccard")
 
 
 def matrix_full(spark, folder):
-    keys = _keys(spark, folder)
-    pairs = distance.similarities(distance.sized_overlaps(_asked(keys), keys), K)
-    return _rounded(distance.full_matrix(pairs, _asked(keys), keys, "mash"), "value")
+    keys = keys_of(spark, folder)
+    pairs = distance.similarities(distance.sized_overlaps(asked(keys), keys), K)
+    return rounded(distance.full_matrix(pairs, asked(keys), keys, "mash"), "value")
 
 
 def dereplicated(spark, folder):
-    return distance.dereplicate_sketches(_keys(spark, folder), 0.2, K)
+    return distance.dereplicate_sketches(keys_of(spark, folder), 0.2, K)
 
 
 def ani_features(spark, folder):
-    index = _index(_keys(spark, folder))
-    return ani.features(_asked(index), index)
+    index = _index(keys_of(spark, folder))
+    return ani.features(asked(index), index)
 
 
 def ani_detail(spark, folder):
-    index = _index(_keys(spark, folder))
-    out = ani.ani_table(_asked(index), index, least_fraction=0.1, least_ani=0.8)
-    return _rounded(out.drop("rough_ani"), "af_qry", "af_ref", "ani", "dist", digits=5)
+    index = _index(keys_of(spark, folder))
+    out = ani.ani_table(asked(index), index, least_fraction=0.1, least_ani=0.8)
+    return rounded(out.drop("rough_ani"), "af_qry", "af_ref", "ani", "dist", digits=5)
 
 
 def ani_unassembled(spark, folder):
-    index = _index(_keys(spark, folder))
-    out = ani.ani_table(_asked(index), index, least_fraction=0.1, least_ani=0.8, unassembled=True)
-    return _rounded(out.drop("rough_ani"), "af_qry", "af_ref", "ani", "dist", digits=5)
+    index = _index(keys_of(spark, folder))
+    out = ani.ani_table(asked(index), index, least_fraction=0.1, least_ani=0.8, unassembled=True)
+    return rounded(out.drop("rough_ani"), "af_qry", "af_ref", "ani", "dist", digits=5)
 
 
 def ani_contexts(spark, folder):
-    index = _index(_keys(spark, folder))
-    return _rounded(ani.context_ani(_asked(index), index, 10), "ani")
+    index = _index(keys_of(spark, folder))
+    return rounded(ani.context_ani(asked(index), index, 10), "ani")
 
 
 def composition(spark, folder):
-    keys = _keys(spark, folder)
-    return _rounded(composite.composition(_asked(keys), keys), "mean", "pct98_99")
+    keys = keys_of(spark, folder)
+    return rounded(composite.composition(asked(keys), keys), "mean", "pct98_99")
+
+
+def dereplication_codes(spark, folder):
+    """Kept genomes with their running number, the others without."""
+    return distance.selection_codes(dereplicated(spark, folder), table(spark, folder, "genomes").withColumn("genome_id", F.col("genome_id").cast("bigint")))
+
+
+def _detail(metric="model", rough=True):
+    def query(spark, folder):
+        index = _index(keys_of(spark, folder))
+        out = ani.ani_table(asked(index), index, least_fraction=0.1, least_ani=0.8, metric=metric, rough=rough)
+        return rounded(out.drop("rough_ani"), "af_qry", "af_ref", "ani", "dist", digits=5)
+
+    return query
+
+
+def _ranked(rough):
+    def query(spark, folder):
+        index = _index(keys_of(spark, folder))
+        out = ani.ani_table(asked(index), index, least_fraction=0.1, least_ani=0.8, rough=rough)
+        by = "rough_ani" if rough else "ani"
+        return ani.ranked(out.withColumn(by, F.round(F.col(by).cast("double"), 5)), by).select("q", "r", "xny_ctx", "place")
+
+    return query
+
+
+def merged(spark, folder):
+    """The sketch table twice as one sketch: the second copy's genomes are moved up."""
+    keys = keys_of(spark, folder)
+    return sketching.merge((keys, 1_000_000, CODEN), (keys, 1_000_000, CODEN))
+
+
+def index_listing(spark, folder):
+    return setops.index_listing(_index(keys_of(spark, folder)))
+
+
+def posting_lists(spark, folder):
+    lists = legacy.posting_lists(keys_of(spark, folder), "ctxobj")
+    return lists.select("ctxobj", F.array_join(F.transform("genomes", lambda x: x.cast("string")), ",").alias("genomes"))
+
+
+def legacy_once(spark, folder):
+    return legacy.once_only(sketch_legacy(spark, folder)).select("genome_id", "key")
+
+
+def legacy_kmers(spark, folder):
+    return legacy.legacy_kmer(sketch_legacy(spark, folder), 8)
+
+
+def legacy_abundance(spark, folder):
+    keys = sketch_legacy(spark, folder)
+    return rounded(legacy.mean_shared_abundance(asked(keys), keys), "mean_cnt")
 
 
 def _vectors(spark, folder):
     """Of all samples: every one may be the nearest to one that is asked."""
-    keys = _keys(spark, folder)
+    keys = keys_of(spark, folder)
     return Scratch(spark, "vectors").keep(composite.abundance_vectors(composite.composition(keys, keys)), "vectors")
 
 
 def abundance_vectors(spark, folder):
-    return _rounded(_vectors(spark, folder), "pct")
+    return rounded(_vectors(spark, folder), "pct")
 
 
 def _search(measure):
     def query(spark, folder):
         vectors = _vectors(spark, folder)
-        return _rounded(composite.search_vectors(vectors.where("sample % 50 = 0"), vectors, measure).drop("place"), "measure")
+        found = rounded(composite.search_vectors(vectors.where("sample % 50 = 0"), vectors, measure).drop("place"), "measure")
+        return composite.placed(found, measure)
 
     return query
 
@@ -217,25 +275,25 @@ def _search(measure):
 def taxonomy_roll_up(spark, folder):
     """Sketch sizes of the genomes, summed at every ranked ancestor of their taxon."""
     nodes = table(spark, folder, "ncbitaxid_rank_parentnode_name").select("node", parent_number(F.col("pa")).alias("parent"), clean_rank(F.col("rank")).alias("rank"))
-    sizes = _keys(spark, folder).groupBy("genome_id").agg(F.count("*").cast("double").alias("value"))
+    sizes = keys_of(spark, folder).groupBy("genome_id").agg(F.count("*").cast("double").alias("value"))
     rows = sizes.join(_taxa(spark, folder), "genome_id").select(F.lit("all").alias("sample"), F.col("taxid").cast("bigint").alias("taxid"), "value")
     return reports.roll_up(rows, nodes, value="value")
 
 
 def error_rate(spark, folder):
-    return _rounded(reports.error_rate(_keys(spark, folder), 0.9, 0.1), "s", "r", digits=9)
+    return rounded(reports.error_rate(keys_of(spark, folder), 0.9, 0.1), "s", "r", digits=9)
 
 
 def differing(spark, folder):
     """How many bases of the object differ from the context's smallest object."""
-    index = _index(_keys(spark, folder))
+    index = _index(keys_of(spark, folder))
     least = index.groupBy("ctx").agg(F.min("obj").alias("least"))
     bases = differing_bases(F.col("obj").bitwiseXOR(F.col("least")))
     return index.join(least, "ctx").groupBy(bases.alias("bases")).agg(F.count("*").alias("n"))
 
 
 def reversed_sequences(spark, folder):
-    return _records(spark, folder).select("rec_id", reverse_complement(F.upper("seq")).alias("reverse_complement"))
+    return records_of(spark, folder).select("rec_id", reverse_complement(F.upper("seq")).alias("reverse_complement"))
 
 
 QUERIES = {
@@ -243,6 +301,7 @@ QUERIES = {
     for f in (
         sketch_plain, sketch_patterned, sketch_coden, sketch_records, sketch_repeated, sketch_legacy, reverse_kmers, inverted_index, index_summary, sketch_sizes, set_union, set_unique_union, set_markers,
         set_intersect, set_subtract, set_group_union, set_key_listing, set_combine, conflict_free, dist_similarity, dist_corrected, dist_containment, dist_p_values, dist_nearest, matrix_full,
-        dereplicated, ani_features, ani_detail, ani_unassembled, ani_contexts, composition, abundance_vectors, taxonomy_roll_up, error_rate, differing, reversed_sequences,
+        dereplicated, dereplication_codes, merged, index_listing, posting_lists, legacy_once, legacy_kmers, legacy_abundance, ani_features, ani_detail, ani_unassembled, ani_contexts, composition, abundance_vectors, taxonomy_roll_up, error_rate, differing, reversed_sequences,
     )
 } | {f"vector_search_{m}": _search(m) for m in ("l1", "l2", "cosine")}
+QUERIES |= {f"ani_{m}": _detail(m) for m in ("mash", "aaf", "mash_if_far", "aaf_if_far")} | {"ani_direct": _detail(rough=False), "ani_ranked": _ranked(True), "ani_direct_ranked": _ranked(False)}

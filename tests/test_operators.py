@@ -191,10 +191,12 @@ def test_hot_left_join(spark):
 
 
 def test_reports(spark):
-    rows = spark.createDataFrame([("d__A;p__B;s__C", 1.0), ("d__A;p__B", 2.0), (None, 4.0)], "line string, v double")
-    assert {(r.rank, r.path): r.value for r in reports.lineage_profile(rows, "line", "v").collect()} == {("domain", "d__A"): 3.0, ("phylum", "d__A|p__B"): 3.0, ("species", "d__A|p__B|s__C"): 1.0}
-    assert {r.taxonomy: r.percentage for r in reports.krona_rows(rows.where("line is not null"), "line", "v").collect()} == {"A\tB\tC": pytest.approx(100 / 3), "A\tB": pytest.approx(200 / 3)}
-    assert [r[0] for r in rows.select(reports.species_of(rows.line)).collect()] == ["C", None, None]
+    rows = spark.createDataFrame([("s", "d__A;p__B; s__C1", 1.0), ("s", "d__A;p__B", 2.0), ("s", None, 4.0), ("t", "d__A", 8.0)], "sample string, line string, v double")
+    want = {("s", "domain", "d__A"): 3.0, ("s", "phylum", "d__A|p__B"): 3.0, ("s", "species", "d__A|p__B|s__C1"): 1.0, ("t", "domain", "d__A"): 8.0}
+    assert {(r["sample"], r["rank"], r.path): r.value for r in reports.lineage_profile(rows, "sample", "line", "v").collect()} == want
+    krona = {(r["sample"], r.taxonomy): r.percentage for r in reports.krona_rows(rows.where("line is not null"), "sample", "line", "v").collect()}
+    assert krona == {("s", "A\tB\tC1"): 33.3333, ("s", "A\tB"): 66.6667, ("t", "A"): 100.0}
+    assert [r[0] for r in rows.select(reports.species_of(rows.line)).collect()] == ["C1", None, None, None]
     nodes = spark.createDataFrame([(1, None, "superkingdom"), (2, 1, "genus"), (3, 2, "species"), (4, 2, "species")], "node long, parent long, rank string")
     found = spark.createDataFrame([("s", 3, 10.0), ("s", 4, 5.0), ("s", 99, 1.0)], "sample string, taxid long, percentage double")
     assert {(r["rank"], r.taxid): r.value for r in reports.roll_up(found, nodes).collect()} == {("superkingdom", 1): 15.0, ("genus", 2): 15.0, ("species", 3): 10.0, ("species", 4): 5.0}
@@ -203,14 +205,14 @@ def test_reports(spark):
     assert sorted(map(tuple, reports.with_metadata(runs, meta, "run").collect())) == [("a", 1, "x"), ("b", 2, "NA")]
     assert reports.subset(runs, meta, "run").count() == 1
     assert [r.info for r in reports.ordered_subset(runs, "n", meta, "run", "info").collect()] == ["x", "==no match=="]
-    jplace = '{"fields": ["like", "edge_num"], "placements": [{"n": ["r1"], "p": [[0.5, 7], [0.4, 8]]}]}'
+    jplace = '{"fields": ["like", "edge_num"], "placements": [{"n": ["r1", "also"], "p": [[0.5, 7], [0.4, 8]]}]}'
     assert sorted(map(tuple, reports.placements(spark.createDataFrame([(jplace,)], "t string"), "t").collect())) == [("r1", 7), ("r1", 8)]
-    counts = keyed(spark, {0: {1: 1, 2: 2, 3: 1}, 1: {3: 1, 4: 5}})
-    assert tuple(reports.error_rate(counts).first()) == (1, 2, 10, -0.3, -0.3)
-    depth = spark.createDataFrame([(5.0, 2, 10), (2.5, 1, 3), (1.0, 1, 3)], "p double, m int, s int")
-    assert [r[0] for r in depth.select(reports.depth_by_steps(depth.p, depth.m, depth.s)).collect()] == [2.0, 0.001, None]
-    assert [r[0] for r in depth.select(reports.depth_by_table(depth.p, [0.1, 0.2, 0.3])).collect()] == [5.0, 2.5, 0.2]
-    assert [r[0] for r in depth.select(reports.depth_by_offset(depth.p, depth.s)).collect()] == [4.0, None, None]
+    counts = keyed(spark, {0: {1: 1, 2: 2, 3: 1}, 1: {3: 1, 4: 5, 2: 1}})
+    assert tuple(reports.error_rate(counts).first()) == (3, 1, 10, 0.1, 0.1)  # key 3 is once in two genomes, key 2 has two counts
+    depth = spark.createDataFrame([(5.0, 2, 10), (2.5, 1, 3), (2.5, 1, 10), (1.0, 1, 30), (5.5, 1, 19)], "p double, m int, s int")
+    assert [r[0] for r in depth.select(reports.depth_by_steps(depth.p, depth.m, depth.s)).collect()] == [2.0, None, 0.001, None, 2.5]
+    assert [r[0] for r in depth.select(reports.depth_by_table(depth.p, depth.s)).collect()] == [2.49, None, 0.08, 0.02, 2.5]
+    assert [r[0] for r in depth.select(reports.depth_by_offset(depth.p, depth.s, least_shared=8)).collect()] == [2.0, None, pytest.approx(10**-0.6), pytest.approx(10**-2.1), 2.5]
     shares = reports.relative_abundance(found, "sample", "percentage").collect()
     assert math.isclose(sum(r.percentage for r in shares), 100)
     order = spark.createDataFrame([("x", 1), ("y", 2)], "q string, place int")
