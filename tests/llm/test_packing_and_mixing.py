@@ -5,7 +5,7 @@ import pytest
 
 from kmerloom.llm import mixing
 from kmerloom.llm.mixing import _part, hypergeometric, mixture, permuted, reached_shares, shard_counts
-from kmerloom.llm.packing import pack
+from kmerloom.llm.packing import fill, pack
 from kmerloom.llm.tokens import token_count, with_token_counts
 
 SCHEMA = "id long, source string, n_tokens long, block int"
@@ -17,26 +17,54 @@ def items():
     return rows + [(5000, "big", 10_000, 1), (5001, "mid", 2048, 1), (5002, "mid", 0, 1), (5003, "mid", None, 1), (5004, "small", 4096, 1)]
 
 
-@pytest.mark.parametrize("block_tokens", [10**9, 60_000])
-def test_containers_hold_everything_once(spark, block_tokens):
+@pytest.mark.parametrize("options", [{"block_tokens": 10**9}, {"block_tokens": 60_000}, {"block_tokens": 10**9, "block_rows": 500}])
+def test_containers_hold_everything_once(spark, options):
     rows = items()
-    got = pack(spark.createDataFrame(rows, SCHEMA), block_tokens=block_tokens).toPandas()
+    got = pack(spark.createDataFrame(rows, SCHEMA), **options).toPandas()
     per = got.groupby("container_id")["n_tokens"].sum()
     assert per.max() <= 2048
     sizes = {i: n or 0 for i, _, n, _ in rows}
     assert got.groupby("id")["n_tokens"].sum().to_dict() == sizes
     pieces = got.groupby("id").size()
     assert all(pieces[i] == max(1, -(-n // 2048)) for i, n in sizes.items())
-    assert len(per) <= 1.03 * sum(sizes.values()) / 2048 + 12 * (block_tokens < 10**9)
-
-
-def test_every_stretch_keeps_to_the_mixture(spark):
-    got = pack(spark.createDataFrame(items(), SCHEMA), block_tokens=10**9).toPandas()
-    got["source"] = got["source"].replace("", None)
-    order = got[got.n_tokens < 2048].sort_values(["container_id", "slot"])
-    first, whole = order.iloc[: len(order) // 2], order
-    share = lambda x: x[x.source == "big"].n_tokens.sum() / x.n_tokens.sum()
-    assert abs(share(first) - share(whole)) < 0.03
+    assert len(per) <= 1.03 * sum(sizes.values()) / 2048 + 12 * (len(per.index.to_series().floordiv(1 << 32).unique()) > 1)
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a", 100, 1)] * 300 + [(7, "a", 100, 1)] * 50 + [(8, None, None, 1)]
+    got = pack(spark.createDataFrame(rows, SCHEMA), block_rows=40).toPandas()
+    assert len(got) == 351 and got.n_tokens.sum() == 35_000 and got["id"].isna().sum() == 300 and got.container_id.floordiv(1 << 32).nunique() > 5
+
+
+def running(containers, shares, capacity):
+    """The largest distance of a source from its share of what is packed, at the end of each container."""
+    own, packed, out = dict.fromkeys(shares, 0), 0, []
+    for window in containers:
+        for item in window:
+            own[item[0]] += item[1]
+            packed += item[1]
+        out.append(max(abs(own[s] - shares[s] * packed) for s in shares))
+    return out
+
+
+def test_running_shares_follow_the_targets():
+    rnd = random.Random(2)
+    stock = {s: [min(2048, max(1, int(rnd.lognormvariate(5, 1.3)))) for _ in range(n)] for s, n in (("a", 6000), ("b", 2500), ("c", 600), ("d", 60))}
+    stock["b"] += [2048] * 120  # pieces of oversized items
+    items = [(s, z, i, 0, 0) for s, zs in stock.items() for i, z in enumerate(zs)]
+    total = sum(z for _, z, *_ in items)
+    natural = {s: sum(zs) / total for s, zs in stock.items()}
+    out = fill(items, natural, {}, 2048)
+    assert sum(map(len, out)) == len(items) and total / len(out) / 2048 > 0.98
+    assert max(running(out, natural, 2048)) <= 3 * 2048 and sorted(running(out, natural, 2048))[len(out) * 9 // 10] <= 2 * 2048
+    # other targets: followed until the first source runs out
+    wanted = {"a": 0.25, "b": 0.25, "c": 0.4, "d": 0.1}
+    out = fill(items, wanted, {}, 2048)
+    last = next(k for k in range(len(out)) if sum(1 for w in out[: k + 1] for x in w if x[0] == "d") == 60)
+    assert last > 5 and max(running(out[:last], wanted, 2048)) <= 3 * 2048 and total / len(out) / 2048 > 0.98
+    # a block starts with what the blocks before it left
+    first = fill(items, natural, {"d": 4 * 2048.0}, 2048)[:6]
+    assert sum(x[1] for w in first for x in w if x[0] == "d") > 2 * 2048
 
 
 def test_mixture_reaches_shares_within_caps(spark):
