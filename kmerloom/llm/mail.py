@@ -11,13 +11,20 @@ _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _ENCODED = ("quoted-printable", "base64")
 #: A quote mark, also with the initials of whom it quotes.
 _QUOTED = re.compile(r"[A-Za-z]{0,3}>|\|")
-#: A part may hold parts this many levels deep.
-DEPTH = 12
 
 
-def clear_parts(text: str, start: int = 0, stop: int | None = None, depth: int = 0) -> list[tuple[int, int]]:
-    """(start, stop) of every text/plain body sent in clear, within a message or part that begins with its headers."""
-    stop = len(text) if stop is None else stop
+def clear_parts(text: str) -> list[tuple[int, int]]:
+    """(start, stop) of every text/plain body sent in clear, in order, of a message however deep its parts are nested."""
+    out, waiting = [], [(0, len(text))]
+    while waiting:
+        body, inner = _part(text, *waiting.pop())
+        waiting += inner[::-1]
+        out += body
+    return out
+
+
+def _part(text: str, start: int, stop: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The body of a part that begins with its headers, if it is sent in clear, and the parts that it holds."""
     if text.startswith("\n", start) or text.startswith("\r\n", start):
         head, body = start, text.index("\n", start) + 1
     else:
@@ -26,23 +33,23 @@ def clear_parts(text: str, start: int = 0, stop: int | None = None, depth: int =
     fields = {m[1].lower(): m[2].strip() for m in reversed(list(_FIELD.finditer(text, start, head)))}
     kind = fields.get("content-type", "").lower()
     if fields.get("content-disposition", "").lower().startswith("attachment"):
-        return []
+        return [], []
     if kind.startswith("multipart/"):
         named = _BOUNDARY.search(fields["content-type"])
         mark = named and (named[1] if named[1] is not None else named[2])
-        if not mark or depth >= DEPTH:
-            return []
+        if not mark:
+            return [], []
         lines = list(re.compile(rf"^--{re.escape(mark)}(--)?[ \t]*\r?$\n?", re.M).finditer(text, body, stop))
         parts = []
         for i, line in enumerate(lines):
             if line[1]:
                 break
             until = lines[i + 1].start() if i + 1 < len(lines) else stop
-            parts += clear_parts(text, line.end(), until, depth + 1)
-        return parts
+            parts.append((line.end(), until))
+        return [], parts
     if (kind and not kind.startswith("text/plain")) or fields.get("content-transfer-encoding", "").lower().startswith(_ENCODED):
-        return []
-    return [(body, stop)]
+        return [], []
+    return [(body, stop)], []
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:

@@ -1,14 +1,19 @@
 """Sentence boundaries across languages and scripts, by a semi-Markov dynamic programme over whole spans.
 
 Places where a sentence could end are found by one pattern (terminators with the closing marks behind them; white space
-between Thai letters). A segmentation of a paragraph is a chain of spans from one such place to another. The score of a span
-sums its length, the words that open it, the word and mark that close it, and a penalty for every quotation or
-bracket that it cuts, and the chain of best total score is taken. Scores are log-odds set by hand: there are no
+between Thai letters). A segmentation of a paragraph is a chain of spans from one such place to another, and the chain of best
+total score is taken. A span's score sums its opening words, its closing word and marks, its length, and what it leaves
+unbalanced: a quotation or bracket that begins in the span and ends after it, or the other way round, costs once for the span.
+So cutting a quotation at one place spoils both spans, whereas marks that enclose many sentences, as stray ones do, don't hold
+them together: the spans between are balanced. No place is left out beforehand and spans may be of any length. Beyond
+``FLAT`` letters the length's score is linear, so the best start of a long span is a running maximum for every quotation that
+is open, and a paragraph takes time in proportion to its places. Scores are log-odds set by hand: there are no
 labelled sentences to fit them to.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -49,11 +54,13 @@ _TOKEN = re.compile(r"[^\s\"“„«‘(\[¿¡]*$")
 _TAG = re.compile(r"(?:\w+\s+)?(\w+)[.,]")  # "..." Ann said.
 _CAMEL = re.compile(r"[a-zà-ÿ]{1,2}[A-Z]")
 _UNCASED = re.compile(r"[֐-ࣿऀ-෿฀-࿿ሀ-፿぀-ヿ㐀-鿿가-힯]")
-_LETTERS = re.compile(r"\w")
+_LAST_LETTER = re.compile(r"\w(?=\W*\Z)")
 _MOJIBAKE = re.compile(r"[Â-ô][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
 _LIST_NUMBER = re.compile(r"\s*(?:[*•-]\s+)?\d{1,3}$")
-#: Spans over more possible ends than this are not considered.
-SPAN = 200
+#: A length up to which spans of a few letters or more are equally likely; beyond it, the loss a letter.
+FLAT, SLOPE = 250, 0.002
+#: What a span loses for a quotation or bracket with one end inside it.
+UNBALANCED = 12.0
 _MISS = -8.0
 
 
@@ -171,81 +178,102 @@ def _opening(text: str, at: int, after_quote: bool) -> float:
     return -7.0 if c in "—–-,;:%/&=)]}»”" else 0.5
 
 
-def _local(text: str, m: re.Match, pairs: list[tuple[int, int]]) -> tuple[int, float]:
-    """(last letter, score) of the boundary at a possible end."""
+def _place(text: str, m: re.Match, pairs: list[tuple[int, int]]) -> tuple[int, float, float]:
+    """(last letter, score of a span that closes here, score of a span that opens behind it) of a possible end."""
     end = m.end() - 1
     if m["thai"]:
         at = m.end()
         while text[at].isspace():
             at += 1
-        score = -6.0 if text.startswith(("คุณ", "ๆ"), at) else 3.0
-    elif m["cjk"]:
+        return end, 3.0, -9.0 if text.startswith(("คุณ", "ๆ"), at) else 0.0
+    if m["cjk"]:
         at = m.end()
         while at < len(text) and text[at].isspace():
             at += 1
         after = text[at] if at < len(text) else ""
         closed = [p for p in pairs if m.start() < p[1] <= end]
-        score = 4.0
         if after in "，、,。：；）」』”":
-            score = _MISS
-        elif closed:
-            first = min(p[0] for p in closed)
-            alone = not text[:first].strip() or text[:first].rstrip()[-1] in "。！？!?」』）)*" or _LIST_NUMBER.match(text[:first].rstrip(").、 "))
-            score = 3.0 if alone and (text[first] in "（([" or after in "「『“（") else _MISS
-    else:
-        marks = m["plain"]
-        start = m.start()
-        at = m.end()
-        while text[at].isspace():
-            at += 1
-        bare = marks.rstrip("\"'”’»›)]}“‘ \xa0 \n\r\t")
-        if len(bare) < len(marks) and marks.endswith("»") and marks[len(bare) :].strip() == "»" and marks[len(bare)].isspace() and not any(p[1] == end for p in pairs):
-            return end, _MISS  # it opens a quotation
-        quoted = len(bare) < len(marks) and any(c in "\"'”’»›“‘" for c in marks[len(bare) :])
-        score = _closing(text, start, bare, text[at]) + _opening(text, at, quoted)
-    for a, b in pairs:
-        if a < end < b:
-            score += _MISS
-    return end, score
+            return end, 4.0, _MISS - 4
+        if not closed:
+            return end, 4.0, 0.0
+        first = min(p[0] for p in closed)
+        alone = not text[:first].strip() or text[:first].rstrip()[-1] in "。！？!?」』）)*" or _LIST_NUMBER.match(text[:first].rstrip(").、 "))
+        return end, 3.0 if alone and (text[first] in "（([" or after in "「『“（") else _MISS, 0.0
+    marks = m["plain"]
+    at = m.end()
+    while text[at].isspace():
+        at += 1
+    bare = marks.rstrip("\"'”’»›)]}“‘ \xa0\u202f\n\r\t")
+    if len(bare) < len(marks) and marks.endswith("»") and marks[len(bare) :].strip() == "»" and marks[len(bare)].isspace() and not any(p[1] == end for p in pairs):
+        return end, _MISS, 0.0  # it opens a quotation
+    quoted = len(bare) < len(marks) and any(c in "\"'”’»›“‘" for c in marks[len(bare) :])
+    return end, _closing(text, m.start(), bare, text[at]), _opening(text, at, quoted)
 
 
 def _length(letters: int) -> float:
-    return -4.0 if letters < 2 else -0.5 if letters < 4 else -0.002 * max(0, letters - 250)
+    return -4.0 if letters < 2 else -0.5 if letters < 4 else -SLOPE * max(0, letters - FLAT)
 
 
-def ends(text: str) -> list[int]:
-    """The last letters of all sentences of a paragraph but the last, by the best chain of spans."""
-    found = list(_ENDS.finditer(text))
-    if not found:
-        return []
-    pairs = quote_pairs(text)
-    places = []
-    for m in found:
-        if m.end() >= len(text):
-            continue
-        end, score = _local(text, m, pairs)
-        if score > -4 and _LETTERS.search(text, m.end()):
-            places.append((end, score))
-    if not places:
-        return []
-    stops = [-1, *(e for e, _ in places), len(text) - 1]
-    scores = [0.0, *(s for _, s in places), 0.0]
+def best_chain(stops: list[int], closing: list[float], opening: list[float], pairs: list[tuple[int, int]]) -> list[int]:
+    """Indices of the stops in the best chain of spans from the first stop to the last, both left out.
+
+    The span from stop i to stop j scores opening[i] + closing[j] + the length's score - UNBALANCED for each pair (nested or
+    apart, sorted) that has one end in it. That number is the pairs open at i, plus those open at j, less twice those open at both.
+    """
     best, back = [0.0], [0]
+    running: dict[tuple[int, int] | None, tuple[float, int]] = {}  # best long start overall, and of those inside each open pair
+    held: list[tuple[int, int]] = []
+    depth, entered, following = [0], 0, 0
     for j in range(1, len(stops)):
-        top, via = -1e9, 0
-        for i in range(j - 1, max(-1, j - SPAN - 1), -1):
-            value = best[i] + _length(stops[j] - stops[i])
+        stop = stops[j]
+        while following < len(pairs) and pairs[following][0] < stop:
+            held.append(pairs[following])
+            following += 1
+        for p in [p for p in held if p[1] <= stop]:
+            held.remove(p)
+            running.pop(p, None)
+        while stop - stops[entered] > FLAT:
+            i = entered
+            start = best[i] + opening[i] - UNBALANCED * depth[i] + SLOPE * stops[i], i
+            for key in [None, *(p for p in held if p[0] < stops[i])]:
+                running[key] = max(running.get(key, start), start)
+            entered += 1
+        top, via = -math.inf, 0
+        for level, key in enumerate([None, *held]):  # who starts inside ``level`` open pairs leaves them open on both sides
+            if key in running:
+                value = running[key][0] + 2 * UNBALANCED * level - SLOPE * (stop - FLAT)
+                if value > top:
+                    top, via = value, running[key][1]
+        for i in range(entered, j):
+            both = sum(p[0] < stops[i] for p in held)
+            value = best[i] + opening[i] + _length(stop - stops[i]) - UNBALANCED * (depth[i] - 2 * both)
             if value > top:
                 top, via = value, i
-        best.append(top + scores[j])
+        depth.append(len(held))
+        best.append(top + closing[j] - UNBALANCED * len(held))
         back.append(via)
     out, j = [], back[-1]
     while j:
-        out.append(stops[j])
+        out.append(j)
         j = back[j]
     return out[::-1]
 
 
+def ends(text: str) -> list[int]:
+    """The last letters of all sentences of a paragraph but the last, by the best chain of spans."""
+    letters = [m.start() for m in _LAST_LETTER.finditer(text)]
+    if not letters:
+        return []
+    found = [m for m in _ENDS.finditer(text) if m.end() <= letters[-1]]
+    if not found:
+        return []
+    pairs = sorted(quote_pairs(text))
+    places = [_place(text, m, pairs) for m in found]
+    stops = [-1, *(p[0] for p in places), len(text) - 1]
+    chain = best_chain(stops, [0.0, *(p[1] for p in places), 0.0], [0.0, *(p[2] for p in places), 0.0], pairs)
+    return [stops[j] for j in chain]
+
+
 def message_sentences(text: str | None) -> list[tuple[int, int, int]]:
     """(paragraph, start, end) of every sentence of a message; end is the last letter, in code points of the message."""
     out = []

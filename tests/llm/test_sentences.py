@@ -1,7 +1,10 @@
+import random
+
 import pytest
+from hypothesis import given, settings, strategies as st
 
 from kmerloom.llm.mail import paragraphs
-from kmerloom.llm.sentences import ends, message_sentences, repaired, sentences
+from kmerloom.llm.sentences import UNBALANCED, _length, best_chain, ends, message_sentences, quote_pairs, repaired, sentences
 
 # "|" marks the expected ends
 CASES = [
@@ -34,6 +37,65 @@ def test_languages(marked):
     assert ends(text) == want
 
 
+def chain_score(chain, stops, closing, opening, pairs):
+    """The plain sum over the spans."""
+    at, score = 0, 0.0
+    for j in [*chain, len(stops) - 1]:
+        inside = lambda x: stops[at] < x <= stops[j]  # noqa: B023, E731
+        score += opening[at] + closing[j] + _length(stops[j] - stops[at]) - UNBALANCED * sum(inside(a) != inside(b) for a, b in pairs)
+        at = j
+    return score
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 10**6))
+def test_the_chain_is_the_best_of_all(seed):
+    rnd = random.Random(seed)
+    steps = [rnd.choice([1, 2, 3, 40, 200, 260, 700]) for _ in range(rnd.randrange(1, 9))]
+    stops = [-1]
+    for x in steps:
+        stops.append(stops[-1] + x)
+    marks = sorted(rnd.sample(range(-1, stops[-1] + 1), min(stops[-1] + 1, 2 * rnd.randrange(5))))
+    pairs, stack = [], []
+    for left, x in zip(range(len(marks), 0, -1), marks, strict=True):  # any nesting
+        if stack and (len(stack) >= left or rnd.random() < 0.5):
+            pairs.append((stack.pop(), x))
+        else:
+            stack.append(x)
+    pairs = sorted(p for p in pairs if not {*p} & {*stops})
+    closing = [0.0, *(rnd.uniform(-8, 9) for _ in stops[2:]), 0.0]
+    opening = [0.0, *(rnd.uniform(-8, 9) for _ in stops[2:]), 0.0]
+    inner = range(1, len(stops) - 1)
+    best = max(chain_score([j for j in inner if mask >> j & 1], stops, closing, opening, pairs) for mask in range(0, 2 ** (len(stops) - 1), 2))
+    got = best_chain(stops, closing, opening, pairs)
+    assert abs(chain_score(got, stops, closing, opening, pairs) - best) < 1e-6
+
+
+def test_spans_decide_otherwise_than_boundaries():
+    """Two stray marks enclose many sentences: every boundary between them cuts a pair, so a rule for single boundaries, which
+    holds a short quotation together, keeps all of it as one sentence. Only the two spans with a mark in them are unbalanced."""
+    sentence = "The index builder has used more memory than last year"
+    text = f'The file "x failed. {". ".join([sentence] * 12)}. Nobody wants the 3.5" one. It went home.'
+    assert any(b - a > 600 for a, b in quote_pairs(text))
+    assert len(ends(text)) == 14 and len(ends(f'Ravi wrote "{sentence}. {sentence}." and left. Then he slept.')) == 1
+
+
+def test_long_paragraphs_have_no_window():
+    doubtful = "see Fig. 3 and Dr. Ost, " * 400  # 800 possible ends in one sentence
+    text = f"One is here. We {doubtful}that is all. Two is here."
+    assert ends(text) == [11, len(text) - 14]
+
+
+def test_parts_may_be_nested_to_any_depth():
+    text, close = "Subject: x\n", ""
+    for k in range(60):
+        text += f"Content-Type: multipart/mixed; boundary=b{k}\n\n--b{k}\n"
+        close = f"\n--b{k}--\n" + close
+    text += "\nOne. Two." + close
+    close = ""
+    assert [text[a : b + 1] for _, a, b in message_sentences(text)] == ["One.", "Two."]
+
+
 MAIL = "From a Mon\r\nSubject: x\r\nContent-Type: multipart/mixed;\r\n boundary=\"b\"\r\n\r\npreamble. No.\r\n--b\r\n\r\nOne. Two\r\nlines. Three.\r\n> Quoted. Text.\r\nFour. Five.\r\n-- \r\nSig. No.\r\n--b\r\nContent-Type: text/plain\r\nContent-Transfer-Encoding: base64\r\n\r\nAAAA. BBBB.\r\n--b\r\nContent-Type: text/html\r\n\r\n<p>No. No.</p>\r\n--b\r\nContent-Type: text/plain\r\nContent-Disposition: attachment\r\n\r\nNo. No.\r\n--b--\r\nEpilogue. No.\r\n"
 
 
