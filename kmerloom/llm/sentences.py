@@ -54,7 +54,7 @@ _TOKEN = re.compile(r"[^\s\"“„«‘(\[¿¡]*$")
 _TAG = re.compile(r"(?:\w+\s+)?(\w+)[.,]")  # "..." Ann said.
 _CAMEL = re.compile(r"[a-zà-ÿ]{1,2}[A-Z]")
 _UNCASED = re.compile(r"[֐-ࣿऀ-෿฀-࿿ሀ-፿぀-ヿ㐀-鿿가-힯]")
-_LAST_LETTER = re.compile(r"\w(?=\W*\Z)")
+_LETTER = re.compile(r"\w")
 _MOJIBAKE = re.compile(r"[Â-ô][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{1,3}")
 _LIST_NUMBER = re.compile(r"\s*(?:[*•-]\s+)?\d{1,3}$")
 #: A length up to which spans of a few letters or more are equally likely; beyond it, the loss a letter.
@@ -220,10 +220,10 @@ def best_chain(stops: list[int], closing: list[float], opening: list[float], pai
     The span from stop i to stop j scores opening[i] + closing[j] + the length's score - UNBALANCED for each pair (nested or
     apart, sorted) that has one end in it. That number is the pairs open at i, plus those open at j, less twice those open at both.
     """
-    best, back = [0.0], [0]
+    starts, back = [opening[0]], [0]  # the best chain up to a stop, with what a span that opens behind it scores there
     running: dict[tuple[int, int] | None, tuple[float, int]] = {}  # best long start overall, and of those inside each open pair
     held: list[tuple[int, int]] = []
-    depth, entered, following = [0], 0, 0
+    entered, following = 0, 0
     for j in range(1, len(stops)):
         stop = stops[j]
         while following < len(pairs) and pairs[following][0] < stop:
@@ -234,7 +234,7 @@ def best_chain(stops: list[int], closing: list[float], opening: list[float], pai
             running.pop(p, None)
         while stop - stops[entered] > FLAT:
             i = entered
-            start = best[i] + opening[i] - UNBALANCED * depth[i] + SLOPE * stops[i], i
+            start = starts[i] + SLOPE * stops[i], i
             for key in [None, *(p for p in held if p[0] < stops[i])]:
                 running[key] = max(running.get(key, start), start)
             entered += 1
@@ -245,12 +245,14 @@ def best_chain(stops: list[int], closing: list[float], opening: list[float], pai
                 if value > top:
                     top, via = value, running[key][1]
         for i in range(entered, j):
-            both = sum(p[0] < stops[i] for p in held)
-            value = best[i] + opening[i] + _length(stop - stops[i]) - UNBALANCED * (depth[i] - 2 * both)
+            value = starts[i]
+            if stop - stops[i] < 4:
+                value += _length(stop - stops[i])
+            if held:
+                value += 2 * UNBALANCED * sum(p[0] < stops[i] for p in held)
             if value > top:
                 top, via = value, i
-        depth.append(len(held))
-        best.append(top + closing[j] - UNBALANCED * len(held))
+        starts.append(top + closing[j] + opening[j] - 2 * UNBALANCED * len(held))
         back.append(via)
     out, j = [], back[-1]
     while j:
@@ -261,10 +263,10 @@ def best_chain(stops: list[int], closing: list[float], opening: list[float], pai
 
 def ends(text: str) -> list[int]:
     """The last letters of all sentences of a paragraph but the last, by the best chain of spans."""
-    letters = [m.start() for m in _LAST_LETTER.finditer(text)]
-    if not letters:
-        return []
-    found = [m for m in _ENDS.finditer(text) if m.end() <= letters[-1]]
+    last = len(text) - 1
+    while last >= 0 and not _LETTER.match(text[last]):
+        last -= 1
+    found = [m for m in _ENDS.finditer(text) if m.end() <= last]
     if not found:
         return []
     pairs = sorted(quote_pairs(text))
