@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 # The SplitMix64 constants and the constant that goes into a sketching id.
@@ -116,40 +118,64 @@ class SketchParams:
         return out
 
 
-def sampled_keys(sequences: list[str | None], params: SketchParams) -> tuple[np.ndarray, np.ndarray]:
+#: Windows that are worked on at a time: some 60 bytes of memory each, however long a sequence is.
+SLICE = 1 << 20
+
+
+def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings of an Arrow column and the start of each, with the end behind; without copying them. Null is empty."""
+    if column.null_count:
+        column = column.fill_null("")
+    _, starts, data = column.buffers()
+    if not len(column) or data is None:
+        return np.empty(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(starts, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def windows(data: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, forward, reverse) of the k-mers of A, C, G, T in either case, packed, slice by slice; some cross sequences."""
+    for start in range(0, len(data) - k + 1, SLICE):
+        codes = _CODES[data[start : start + SLICE + k - 1]]
+        n = len(codes) - k + 1
+        bad = np.concatenate([[0], np.cumsum(codes == 255, dtype=np.int32)])
+        at = np.flatnonzero(bad[k:] == bad[:-k])
+        if not len(at):
+            continue
+        wide = codes.astype(U) & U(3)
+        forward, reverse = np.zeros(n, U), np.zeros(n, U)
+        for j in range(k):
+            part = wide[j : j + n]
+            forward |= part << U(2 * (k - 1 - j))
+            reverse |= (part ^ U(3)) << U(2 * j)
+        yield start + at, forward[at], reverse[at]
+
+
+def within(at: np.ndarray, k: int, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequence of each place, and whether the k-mer ends in it."""
+    index = np.searchsorted(offsets, at, side="right") - 1
+    return index, at + k <= offsets[index + 1]
+
+
+def sampled_keys(sequences: pa.Array | list[str | None], params: SketchParams) -> tuple[np.ndarray, np.ndarray]:
     """(index of the sequence, context/object key) of every kept k-mer, repeats included.
 
     Windows never cross sequences or a letter other than A, C, G, T in either case. Of the two strands the one with the
     smaller context counts, the reverse one if they are equal.
     """
-    k = params.k
-    raw = [(s or "").encode("ascii", "replace") for s in sequences]
-    text = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    codes = _CODES[text]
-    n = len(codes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, U)
-    bad = np.concatenate([[0], np.cumsum(codes == 255)])
-    at = np.flatnonzero(bad[k:] == bad[:-k])
-    if not len(at):
-        return np.empty(0, np.int64), np.empty(0, U)
-    wide = codes.astype(U) & U(3)
-    forward, reverse = np.zeros(n, U), np.zeros(n, U)
-    for j in range(k):
-        part = wide[j : j + n]
-        forward |= part << U(2 * (k - 1 - j))
-        reverse |= (part ^ U(3)) << U(2 * j)
-    forward, reverse = forward[at], reverse[at]
-    mask = U(params.context_mask)
-    f, r = forward & mask, reverse & mask
-    context = np.minimum(f, r)
-    kept = (mix64(context) & U(0xFFFFFFFF)) <= U(params.threshold)
-    at, kmers = at[kept], np.where(f < r, forward, reverse)[kept]
-    keys = gather_bits(kmers, params.context_mask) << U(params.object_bits) if params.object_bits else gather_bits(kmers, params.context_mask)
-    if params.object_bits:
-        keys |= gather_bits(kmers, params.object_mask)
-    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
-    return np.searchsorted(starts, at, side="right") - 1, keys
+    data, offsets = letters(sequences if isinstance(sequences, pa.Array) else pa.array(sequences, pa.large_string()))
+    mask, bits, found = U(params.context_mask), params.object_bits, [(np.empty(0, np.int64), np.empty(0, U))]
+    for at, forward, reverse in windows(data, params.k):
+        f, r = forward & mask, reverse & mask
+        kept = (mix64(np.minimum(f, r)) & U(0xFFFFFFFF)) <= U(params.threshold)
+        index, whole = within(at[kept], params.k, offsets)
+        kmers = np.where(f[kept] < r[kept], forward[kept], reverse[kept])[whole]
+        keys = gather_bits(kmers, params.context_mask)
+        if bits:
+            keys = keys << U(bits) | gather_bits(kmers, params.object_mask)
+        found.append((index[whole], keys))
+    return np.concatenate([i for i, _ in found]), np.concatenate([x for _, x in found])
 
 
 def unpack_keys(keys: np.ndarray, params: SketchParams) -> list[str]:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kmerloom.functions.kernel import _CODES, BASES, U
+from kmerloom.functions.kernel import BASES, U, letters, windows, within
 from kmerloom.operators.skew import SALTS, hot_left_join
 
 LEAST_DIMENSIONS = 4096
@@ -44,33 +44,37 @@ def legacy_keys(records: DataFrame, half_k: int, half_subcontext: int, level: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [(s or "").encode("ascii", "replace") for s in batch.column(1).to_pylist()]
-            codes = _CODES[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)].copy()
+            column = batch.column(1)
             if quality is not None:
-                marks = [(q or "").encode("ascii", "replace").ljust(len(s), b"~")[: len(s)] for q, s in zip(batch.column(2).to_pylist(), raw, strict=True)]
-                codes[np.frombuffer(b"\n".join(marks) + b"\n", np.uint8) < least_quality + offset] = 255
-            n = len(codes) - k + 1
-            if n <= 0:
-                continue
-            bad = np.concatenate([[0], np.cumsum(codes == 255)])
-            at = np.flatnonzero(bad[k:] == bad[:-k])
-            wide = codes.astype(U) & U(3)
-            f, r = np.zeros(n, U), np.zeros(n, U)
-            for j in range(k):
-                f |= wide[j : j + n] << U(2 * (k - 1 - j))
-                r |= (wide[j : j + n] ^ U(3)) << U(2 * j)
-            kmers = np.minimum(f[at], r[at])
-            middle = (kmers >> U(2 * outer)) & U(16**half_subcontext - 1)
-            kept = ranks[middle.astype(np.int64)] < keep
-            starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
-            index = np.searchsorted(starts, at[kept], side="right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(kmers[kept].view(np.int64))], names=["genome_id", "key"])
+                column = pa.array([_masked(s, q, least_quality + offset) for s, q in zip(column.to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.large_string())
+            data, offsets = letters(column)
+            found = [(np.empty(0, np.int64), np.empty(0, U))]
+            for at, forward, reverse in windows(data, k):
+                least = np.minimum(forward, reverse)
+                kept = ranks[((least >> U(2 * outer)) & U(16**half_subcontext - 1)).astype(np.int64)] < keep
+                sequence, whole = within(at[kept], k, offsets)
+                found.append((sequence[whole], least[kept][whole]))
+            index, kmers = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), pa.array(kmers.view(np.int64))], names=["genome_id", "key"])
 
     columns = [F.col(genome).cast("bigint"), F.col(sequence)] + ([F.col(quality)] if quality else [])
     rows = records.where(F.col(genome).isNotNull()).select(*columns).mapInArrow(run, "genome_id bigint, key bigint")
     return rows.groupBy("genome_id", "key").agg(F.least(F.count("*"), F.lit(MOST_COUNT)).alias("cnt"))
 
 
+def _masked(sequence: str | None, quality: str | None, least: int) -> str:
+    """The sequence with N for bases of a lower quality; a missing quality is a good one."""
+    marks = np.frombuffer((quality or "").encode("ascii", "replace"), np.uint8)[: len(sequence or "")]
+    text = np.frombuffer((sequence or "").encode("ascii", "replace"), np.uint8).copy()
+    text[: len(marks)][marks < least] = ord("N")
+    return text.tobytes().decode()
+
+
+def frequent(keys: DataFrame, least: int) -> DataFrame:
+    """The occurrence filter: keys that a genome has at least ``least`` times."""
+    return keys.where(F.col("cnt") >= least)
+
+
 def once_only(keys: DataFrame) -> DataFrame:
     """Keys that a genome has once."""
     return keys.where("cnt = 1")

@@ -18,7 +18,7 @@ def raw_keys(records: DataFrame, genome: str, sequence: str, params: SketchParam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, keys = sampled_keys(batch.column(1).to_pylist(), params)
+            index, keys = sampled_keys(batch.column(1), params)
             if not len(keys):
                 continue
             genomes = np.asarray(batch.column(0), np.int64)[index]

@@ -1,8 +1,13 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from kmerloom.functions import kernel
 from kmerloom.functions.kernel import SketchParams, gather_bits, mix64, runs, sampled_keys, scatter_bits, unpack_keys
 
 PARAMS = [SketchParams(fold=2), SketchParams(half_context=5, outer=1, inner=3, fold=1), SketchParams(coden=True, fold=1), SketchParams(half_context=4, fold=0)]
@@ -65,3 +70,33 @@ def test_larger_fold_keeps_a_subset():
     seq = "".join(random.Random(2).choices("ACGT", k=3000))
     keys = [set(sampled_keys([seq], SketchParams(fold=f))[1].tolist()) for f in (1, 2, 3)]
     assert keys[2] < keys[1] < keys[0]
+
+
+def test_slices_and_borders(monkeypatch):
+    """Slices of a few windows give what one slice gives; no window crosses a sequence, and Arrow slices and nulls are minded."""
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ACGTacgtN") for _ in range(rnd.randrange(60))) for _ in range(40)] + [None, "", "ACGT" * 30]
+    p = SketchParams(half_context=4, outer=1, inner=1, fold=1)
+    whole = [sampled_keys([t], p)[1].tolist() for t in texts]
+    for size in (1 << 20, 7, 1):
+        monkeypatch.setattr(kernel, "SLICE", size)
+        for array in (pa.array(texts), pa.array(["ACGTACGTACGTACGT", *texts, "TTTT"])[1:-1], pa.array(texts, pa.large_string())):
+            index, keys = sampled_keys(array, p)
+            assert [keys[index == i].tolist() for i in range(len(texts))] == whole
+
+
+def test_a_long_record_needs_little_memory():
+    """300 million letters, of which the text itself takes 300 MB: the rest stays below 400 MB."""
+    script = (
+        "import resource, numpy as np, pyarrow as pa\n"
+        "from kmerloom.functions.kernel import SketchParams, sampled_keys\n"
+        "n = 300_000_000\n"
+        "text = np.tile(np.frombuffer(np.random.default_rng(1).choice(list(b'ACGT'), 1_000_003).astype(np.uint8).tobytes(), np.uint8), 300)[:n]\n"
+        "column = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, n], np.int64)), pa.py_buffer(text))\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "index, keys = sampled_keys(column, SketchParams(fold=12))\n"
+        "print(len(keys), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)\n"
+    )
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=600, cwd=Path(__file__).parent.parent)
+    n, grown = map(int, out.stdout.split())
+    assert n > 30_000 and grown < 400
