@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerloom.functions.kernel import SketchParams
 from kmerloom.operators import ani, composite, distance, setops, sketching
-from kmerloom.sources.files import read_groups, read_sequences, with_genome_ids
+from kmerloom.sources.files import folder_files, read_groups, read_sequences, with_genome_ids
 from kmerloom.sources.sinks import read_sketch, write_kmers, write_sketch, write_tsv
 
 
@@ -80,7 +80,7 @@ def _set(spark: SparkSession, a) -> DataFrame:
     index = lambda: setops.index_listing(sketching.inverted_index(keys, params.object_bits))
     choices = {
         "union": lambda: setops.union(keys), "unique": lambda: setops.unique_union(keys), "markers": lambda: setops.markers(keys), "sizes": lambda: setops.sizes(keys, genomes), "keys": lambda: setops.key_listing(keys),
-        "index": index, "intersect": lambda: setops.intersect(keys, pan), "subtract": lambda: setops.subtract(keys, pan), "groups": lambda: setops.group_union(keys, setops.checked_groups(read_groups(spark, a.groups))),
+        "index": index, "intersect": lambda: setops.intersect(keys, pan), "subtract": lambda: setops.subtract(keys, pan), "groups": lambda: setops.group_union(keys, setops.checked_groups(read_groups(spark, a.groups, genomes.count()))),
     }
     return next(make for name, make in choices.items() if getattr(a, name))()
 
@@ -90,7 +90,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.appName("kmerloom").getOrCreate()
     if a.command == "sketch":
         params = SketchParams(a.half_context, a.outer, a.inner, a.fold, a.coden, a.least_count, a.conflict)
-        records = with_genome_ids(read_sequences(spark, a.input))
+        records = with_genome_ids(read_sequences(spark, a.input), folder_files(spark, a.input))
         if a.splitmfa:
             records = records.withColumn("genome_id", F.col("genome_id") * (1 << 40) + F.col("rec_id")).withColumn("path", F.col("name"))
             keys = sketching.sketch_by_record(records, params, "genome_id")

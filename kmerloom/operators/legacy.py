@@ -33,13 +33,15 @@ def kept_dimensions(half_subcontext: int, level: int) -> int:
     return min(16**half_subcontext, max(16 ** max(0, half_subcontext - level), LEAST_DIMENSIONS))
 
 
-def legacy_keys(records: DataFrame, half_k: int, half_subcontext: int, level: int, seed: int, genome: str = "genome_id", sequence: str = "seq", quality: str | None = None, least_quality: int = 0, offset: int = 33) -> DataFrame:
+def legacy_keys(records: DataFrame, half_k: int, half_subcontext: int, level: int, seed: int, genome: str = "genome_id", sequence: str = "seq", quality: str | None = None, least_quality: int = 0, offset: int = 33, ranks: np.ndarray | None = None) -> DataFrame:
     """(genome_id, key, cnt): canonical k-mers (the smaller strand) of 2 * half_k bases whose middle 2 * half_subcontext
     bases have a rank below the kept number. Bases of a quality below ``least_quality`` break a k-mer. Counts stop at 65,535.
+    ``ranks`` is the permutation of a shuffle file in place of the seed's.
     """
     if half_k < half_subcontext or half_k > 16:
         raise ValueError("half_subcontext <= half_k <= 16")
-    k, ranks, keep = 2 * half_k, permutation(half_subcontext, seed), kept_dimensions(half_subcontext, level)
+    k, keep = 2 * half_k, kept_dimensions(half_subcontext, level)
+    ranks = permutation(half_subcontext, seed) if ranks is None else ranks
     outer = half_k - half_subcontext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

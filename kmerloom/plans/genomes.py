@@ -253,19 +253,19 @@ def legacy_abundance(spark, folder):
     return rounded(legacy.mean_shared_abundance(asked(keys), keys), "mean_cnt")
 
 
-def _vectors(spark, folder):
+def vectors_of(spark, folder):
     """Of all samples: every one may be the nearest to one that is asked."""
     keys = keys_of(spark, folder)
     return Scratch(spark, "vectors").keep(composite.abundance_vectors(composite.composition(keys, keys)), "vectors")
 
 
 def abundance_vectors(spark, folder):
-    return rounded(_vectors(spark, folder), "pct")
+    return rounded(vectors_of(spark, folder), "pct")
 
 
 def _search(measure):
     def query(spark, folder):
-        vectors = _vectors(spark, folder)
+        vectors = vectors_of(spark, folder)
         found = rounded(composite.search_vectors(vectors.where("sample % 50 = 0"), vectors, measure).drop("place"), "measure")
         return composite.placed(found, measure)
 

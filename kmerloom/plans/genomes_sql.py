@@ -97,6 +97,8 @@ comp AS (SELECT q, r, m AS shared, sum(cnt) / m AS mean, coalesce(sum(cnt) FILTE
 COMPOSED = _COMP = _COMP_ALL.replace("a.ctxobj = b.ctxobj WINDOW", "a.ctxobj = b.ctxobj WHERE a.genome_id % 50 = 0 WINDOW")
 _ABV = f"""{_COMP_ALL}, passed AS (SELECT * FROM comp WHERE median > 1 AND shared > 7), sums AS (SELECT q, sum(pct98_99) - count(*) AS rest FROM passed GROUP BY q),
 abv AS (SELECT q AS sample, r AS ref_idx, (pct98_99 - 1) * 100 / nullif(rest, 0) AS pct FROM passed JOIN sums USING (q))"""
+VECTORS = f"WITH {_ABV}"
+KEYS = f"WITH {_V} SELECT genome_id, ctxobj, cnt FROM v"
 _MET = f"{_ABV}, met AS (SELECT a.sample AS q, b.sample, a.pct AS x, b.pct AS y FROM abv a JOIN abv b ON a.ref_idx = b.ref_idx WHERE a.sample % 50 = 0)"
 _PLAIN_KEYS = f"WITH {_kmers(22, str((1 << 44) - 1), 4)}"
 _CODEN_CONTEXT = str(sum(15 << 6 * i for i in range(11)))

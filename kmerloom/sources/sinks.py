@@ -37,3 +37,21 @@ def write_tsv(rows: DataFrame, folder: str, header: bool = True) -> None:
 def write_kmers(rows: DataFrame, folder: str) -> None:
     """``kmer<TAB>reverse complement`` lines in a folder for each genome."""
     rows.select("genome_id", F.concat_ws("\t", "kmer", "reverse_complement").alias("value")).write.partitionBy("genome_id").text(folder)
+
+
+def write_sequences(records: DataFrame, folder: str, name: str = "name", sequence: str = "seq", quality: str | None = None, packed: bool = False) -> None:
+    """FASTA files, or FASTQ files if there is a column of qualities, plain or gzipped; a null sequence is empty."""
+    seq = F.coalesce(F.col(sequence), F.lit(""))
+    lines = [F.concat(F.lit(">"), F.col(name)), seq] if quality is None else [F.concat(F.lit("@"), F.col(name)), seq, F.lit("+"), F.coalesce(F.col(quality), F.lit(""))]
+    writer = records.select(F.concat_ws("\n", *lines).alias("value")).write
+    (writer.option("compression", "gzip") if packed else writer).text(folder)
+    ending = ("fa" if quality is None else "fq") + (".gz" if packed else "")
+    spark = records.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(place):  # one for each task
+        part = status.getPath()
+        if part.getName().startswith("part-"):
+            system.rename(part, spark._jvm.org.apache.hadoop.fs.Path(place, f"{part.getName().split('.')[0]}.{ending}"))
+        else:
+            system.delete(part, False)
