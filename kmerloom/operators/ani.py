@@ -43,13 +43,14 @@ def model_distance(unassembled: bool = False) -> Column:
     return naive_distance(x, d, s) if unassembled else regression_distance(x, d, s, m)
 
 
-def ani_table(queries: DataFrame, refs: DataFrame, least_fraction: float = 0.3, least_ani: float = 0.95, metric: str = "model", far: float = 1.0, unassembled: bool = False, context_bases: int = 22, rough: bool = True) -> DataFrame:
+def ani_table(queries: DataFrame, refs: DataFrame, least_fraction: float = 0.3, least_ani: float = 0.95, metric: str = "model", far: float = 1.0, unassembled: bool = False, context_bases: int = 22, rough: bool = True, naive: bool = False) -> DataFrame:
     """Detail rows: q, r, features, both align fractions, ani and dist of the chosen metric, and the rough ani.
 
     With ``rough`` (the indexed way) pairs must first pass the query's align fraction and the rough ani, which is
     1 - differing / shared contexts / 7 in single precision; the ani of the metric must reach ``least_ani``. Without, the
     reference's align fraction is tested and the ani must exceed it. The model's distance is ``far`` where the smaller align
-    fraction (for ``unassembled`` queries the reference's) is below ``least_fraction``.
+    fraction (for ``unassembled`` queries the reference's) is below ``least_fraction``. ``naive`` takes the distance for unassembled
+    queries as the model of assembled ones.
     """
     if metric not in METRICS:
         raise ValueError(f"metric is one of {METRICS}")
@@ -61,7 +62,7 @@ def ani_table(queries: DataFrame, refs: DataFrame, least_fraction: float = 0.3,
     limit, near = F.lit(least_fraction).cast("float"), F.lit(least_ani).cast("float")
     low = F.least("af_qry", "af_ref")
     deciding = F.col("af_ref") if unassembled else low
-    model = F.when(deciding < limit, far).otherwise(model_distance(unassembled))
+    model = F.when(deciding < limit, far).otherwise(model_distance(unassembled or naive))
     mash, aaf = mash_distance(x, F.col("r_size"), F.col("q_size"), context_bases), aaf_distance(x, F.col("r_size"), F.col("q_size"), context_bases)
     dist = {"model": model, "mash": mash, "aaf": aaf, "mash_if_far": F.when(low < limit, mash).otherwise(model), "aaf_if_far": F.when(low < limit, aaf).otherwise(model)}[metric]
     if rough:

@@ -206,10 +206,10 @@ def dereplication_codes(spark, folder):
     return distance.selection_codes(dereplicated(spark, folder), table(spark, folder, "genomes").withColumn("genome_id", F.col("genome_id").cast("bigint")))
 
 
-def _detail(metric="model", rough=True):
+def _detail(metric="model", rough=True, naive=False):
     def query(spark, folder):
         index = _index(keys_of(spark, folder))
-        out = ani.ani_table(asked(index), index, least_fraction=0.1, least_ani=0.8, metric=metric, rough=rough)
+        out = ani.ani_table(asked(index), index, least_fraction=0.1, least_ani=0.8, metric=metric, rough=rough, naive=naive)
         return rounded(out.drop("rough_ani"), "af_qry", "af_ref", "ani", "dist", digits=5)
 
     return query
@@ -304,4 +304,4 @@ QUERIES = {
         dereplicated, dereplication_codes, merged, index_listing, posting_lists, legacy_once, legacy_kmers, legacy_abundance, ani_features, ani_detail, ani_unassembled, ani_contexts, composition, abundance_vectors, taxonomy_roll_up, error_rate, differing, reversed_sequences,
     )
 } | {f"vector_search_{m}": _search(m) for m in ("l1", "l2", "cosine")}
-QUERIES |= {f"ani_{m}": _detail(m) for m in ("mash", "aaf", "mash_if_far", "aaf_if_far")} | {"ani_direct": _detail(rough=False), "ani_ranked": _ranked(True), "ani_direct_ranked": _ranked(False)}
+QUERIES |= {f"ani_{m}": _detail(m) for m in ("mash", "aaf", "mash_if_far", "aaf_if_far")} | {"ani_direct": _detail(rough=False), "ani_naive": _detail(naive=True), "ani_ranked": _ranked(True), "ani_direct_ranked": _ranked(False)}

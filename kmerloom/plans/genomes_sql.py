@@ -54,17 +54,16 @@ def _regression(denominators, c) -> str:
     return " + ".join([f"({c[0]!r}::DOUBLE)", *(f"({w!r}::DOUBLE * {f})" for w, f in zip(c[1:], features, strict=True))])
 
 
-def _ani(unassembled: bool = False, metric: str = "model", rough: bool = True, ranked: bool = False) -> str:
+def _ani(unassembled: bool = False, metric: str = "model", rough: bool = True, ranked: bool = False, naive: bool = False) -> str:
     jaccard, containment = "(x / (a_size + b_size - x))", "(x / least(a_size, b_size))"
     mash, aaf = f"(ln((1 + {jaccard}) / (2 * {jaccard})) / 22)", f"(ln(1 / {containment}) / 22)"
-    if unassembled:
+    if unassembled or naive:
         whole = f"(1 - pow(1 - d / (x + d), (s + {EPSILON}) / (d + {EPSILON})))"
         model = f"CASE WHEN x = 0 THEN 1 WHEN {whole} <= 0 THEN 0 ELSE {whole} * {NAIVE_SLOPE} + {NAIVE_INTERCEPT} END"
-        deciding, first = "af_ref", "TRUE"
     else:
         wide, close = _regression(DENOMINATORS, COEFFICIENTS), _regression(DENOMINATORS_95, COEFFICIENTS_95)
         model = f"CASE WHEN x = 0 THEN 1 WHEN d = 0 THEN 0 ELSE greatest(0, CASE WHEN {wide} < 0.05 THEN {close} ELSE {wide} END) END"
-        deciding, first = "least(af_qry, af_ref)", "af_qry >= 0.1::FLOAT"
+    deciding, first = ("af_ref", "TRUE") if unassembled else ("least(af_qry, af_ref)", "af_qry >= 0.1::FLOAT")
     far = f"{deciding} < 0.1::FLOAT"
     dist = {"model": f"CASE WHEN {far} THEN 1.0 ELSE {model} END", "mash": mash, "aaf": aaf, "mash_if_far": f"CASE WHEN {far} THEN {mash} ELSE {model} END", "aaf_if_far": f"CASE WHEN {far} THEN {aaf} ELSE {model} END"}[metric]
     passed = f"{first} AND rough >= 0.8::FLOAT" if rough else "af_ref >= 0.1::FLOAT"
@@ -144,6 +143,7 @@ SELECT r.genome_id, CASE WHEN kept THEN concat_ws(chr(9), row_number() OVER (PAR
     "ani_mash_if_far": _ani(metric="mash_if_far"),
     "ani_aaf_if_far": _ani(metric="aaf_if_far"),
     "ani_direct": _ani(rough=False),
+    "ani_naive": _ani(naive=True),
     "ani_ranked": _ani(ranked=True),
     "ani_direct_ranked": _ani(rough=False, ranked=True),
     "sketch_plain": f"{_PLAIN_KEYS} SELECT genome_id, CAST(u AS BIGINT) AS ctxobj, count(*) AS cnt FROM kept GROUP BY 1, 2",

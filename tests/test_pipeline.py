@@ -4,6 +4,7 @@ import pytest
 
 from kmerloom.__main__ import main
 from kmerloom.operators.pipeline import ani_of_first, ani_of_sequences, as_references, fraction_sketch
+from kmerloom.sources.binary import write_vectors
 
 
 def genomes():
@@ -45,3 +46,44 @@ def test_commands(spark, tmp_path):
     assert read("dist").count() == 3 and read("matrix").count() == 9 and read("ani").where("q <> r").count() == 2
     run("reverse", tmp_path / "s", "-o", tmp_path / "kmers")
     assert spark.read.text(str(tmp_path / "kmers")).count() == spark.read.parquet(f"{tmp_path}/s/keys").count()
+
+
+def test_more_commands(spark, tmp_path):
+    files = tmp_path / "in"
+    files.mkdir()
+    for g, seq in genomes():
+        (files / f"g{g}.fa").write_text(f">a\n{seq}\n")
+    (tmp_path / "list").write_text("".join(f"{files}/g{g}.fa\n" for g in (1, 2)))
+    run = lambda *args: main(list(map(str, args)), spark)
+    read = lambda name, header=True: spark.read.option("sep", "\t").option("header", str(header).lower()).csv(str(tmp_path / name))
+    run("sketch", tmp_path / "list", "-l", "-i", "-T", "-f", 1, "-o", tmp_path / "two")
+    assert spark.read.parquet(f"{tmp_path}/two/genomes").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/two/index").count() == spark.read.parquet(f"{tmp_path}/two/keys").count()
+    run("sketch", files, "-T", "-f", 1, "-o", tmp_path / "s")
+    run("export", tmp_path / "s", "-o", tmp_path / "bin")
+    run("import", tmp_path / "bin", "-o", tmp_path / "back")
+    run("ani", tmp_path / "back", tmp_path / "s", "-v", "-n", 0.5, "-o", tmp_path / "naive")
+    assert read("naive").where("q = r").count() == 3
+    run("ani", tmp_path / "s", tmp_path / "s", "--direct", "-n", 0.9, "-o", tmp_path / "direct")
+    assert read("direct").where("q <> r").count() == 2
+    for name, options, cells in (("m1", ["-m", 1], 9), ("m2", ["-m", 2, "-s", -2], 3)):
+        run("ani", tmp_path / "s", tmp_path / "s", *options, "-o", tmp_path / name)
+        assert read(name).count() == cells
+    run("matrix", tmp_path / "s", tmp_path / "s", "-t", "-d", "-n", "-o", tmp_path / "context")
+    assert read("context").count() == 6
+    run("dist", tmp_path / "s", tmp_path / "s", "-O", 0, "-o", tmp_path / "d0")
+    assert "p" not in read("d0").columns and "dist" in read("d0").columns
+    run("dist", tmp_path / "s", tmp_path / "s", "-A", "-o", tmp_path / "abundance")
+    assert "mean_cnt" in read("abundance").columns
+    run("derep", tmp_path / "s", "-c", 0.05, "-o", tmp_path / "codes")
+    assert sorted(r[1].split("\t")[0] for r in read("codes", False).collect()) == ["0", "1", "2"]
+    run("pair", files, "-f", 1, "-o", tmp_path / "pair")
+    assert read("pair").count() == 1
+    run("shuffle", "-k", 6, "-s", 4, "-l", 1, "-o", tmp_path / "x.shuf")
+    run("legacy", files, "--shuf", tmp_path / "x.shuf", "-n", 1, "-o", tmp_path / "old")
+    run("legacy", files, "-k", 6, "-s", 4, "-L", 1, "-u", "-o", tmp_path / "once")
+    assert spark.read.parquet(f"{tmp_path}/old").where("cnt = 1").count() == spark.read.parquet(f"{tmp_path}/once").count() > 0
+    write_vectors(spark.createDataFrame([("x", 1, 60.0), ("x", 2, 40.0), ("y", 1, 100.0)], "sample string, ref_idx long, pct double"), str(tmp_path / "v"))
+    run("vectors", tmp_path / "v", "-o", tmp_path / "listed")
+    run("vectors", tmp_path / "v", "-s", "l1", "-q", "x", "-o", tmp_path / "found")
+    assert read("listed").count() == 3 and [r.sample for r in read("found").orderBy("place").collect()] == ["x", "y"]
