@@ -27,7 +27,7 @@ def features(queries: DataFrame, refs: DataFrame) -> DataFrame:
         .select(F.col("ctx").alias("of"), "qs")
     )
     asked = Scratch(refs.sparkSession, "features").keep(refs.select(F.col("genome_id").alias("r"), "ctx", "obj").distinct(), "references")
-    met = hot_left_join(asked, lists, "ctx", "of", asked.count(), salts=SALTS).where("qs is not null").select("r", "obj", F.explode("qs").alias("x"))
+    met = hot_left_join(asked, lists, "ctx", "of", asked.measured["rows"], salts=SALTS).where("qs is not null").select("r", "obj", F.explode("qs").alias("x"))
     least = F.array_min(F.transform("x.objs", lambda o: differing_bases(o.bitwiseXOR(F.col("obj")).cast("bigint"))))
     per = met.select(F.col("x.q").alias("q"), "r", least.alias("d"))
     return per.groupBy("q", "r").agg(

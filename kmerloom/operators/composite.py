@@ -18,7 +18,7 @@ def shared_abundances(samples: DataFrame, refs: DataFrame) -> DataFrame:
     """
     lists = samples.groupBy("ctxobj", "genome_id").agg(F.max("cnt").alias("cnt")).groupBy("ctxobj", list_block(F.col("genome_id")).alias("block")).agg(F.collect_list(F.struct(F.col("genome_id").alias("q"), "cnt")).alias("qs")).select(F.col("ctxobj").alias("of"), "qs")
     held = Scratch(refs.sparkSession, "composition").keep(refs.select(F.col("genome_id").alias("r"), "ctxobj").distinct(), "references")
-    met = hot_left_join(held, lists, "ctxobj", "of", held.count(), salts=SALTS).where("qs is not null")
+    met = hot_left_join(held, lists, "ctxobj", "of", held.measured["rows"], salts=SALTS).where("qs is not null")
     return met.select("r", F.explode("qs").alias("x")).select("x.q", "r", F.coalesce("x.cnt", F.lit(1)).alias("cnt")).groupBy("q", "r", "cnt").agg(F.count("*").alias("n"))
 
 
@@ -63,7 +63,8 @@ def search_vectors(queries: DataFrame, index: DataFrame, measure: str) -> DataFr
 
     L1 adds to the shared differences what both have elsewhere, as either sums to 100. Best first: ``place``.
     """
-    lists = queries.groupBy("ref_idx").agg(F.collect_list(F.struct(F.col("sample").alias("q"), F.col("pct").alias("x"))).alias("qs")).withColumnRenamed("ref_idx", "of")
+    # lists of a sixty-fourth of the queries that have a dimension
+    lists = queries.groupBy("ref_idx", F.pmod(F.xxhash64("sample"), F.lit(64)).alias("block")).agg(F.collect_list(F.struct(F.col("sample").alias("q"), F.col("pct").alias("x"))).alias("qs")).select(F.col("ref_idx").alias("of"), "qs")
     met = hot_left_join(index.select("sample", "ref_idx", F.col("pct").alias("y")), lists, "ref_idx", "of", salts=SALTS).where("qs is not null").select("sample", "y", F.explode("qs").alias("e")).select("e.q", "e.x", "sample", "y")
     x, y = F.col("x"), F.col("y")
     sums = met.groupBy("q", "sample").agg(F.sum(F.abs(y - x)).alias("d1"), F.sum((y - x) * (y - x)).alias("d2"), F.sum(x * y).alias("dot"), F.sum(x).alias("sx"), F.sum(y).alias("sy"))

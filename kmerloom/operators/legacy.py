@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerloom.functions.kernel import BASES, U, letters, windows, within
-from kmerloom.operators.skew import SALTS, hot_left_join
+from kmerloom.operators.skew import SALTS, hot_left_join, list_block
+from kmerloom.session import Scratch
 
 LEAST_DIMENSIONS = 4096
 MOST_COUNT = 65535
@@ -89,8 +90,9 @@ def posting_lists(keys: DataFrame, key: str = "key") -> DataFrame:
 
 def mean_shared_abundance(queries: DataFrame, refs: DataFrame) -> DataFrame:
     """(q, r, shared, mean_cnt): shared keys of every pair with the query's mean count over them."""
-    lists = queries.groupBy("key").agg(F.collect_list(F.struct(F.col("genome_id").alias("q"), "cnt")).alias("qs")).withColumnRenamed("key", "of")
-    met = hot_left_join(refs.select(F.col("genome_id").alias("r"), "key").distinct(), lists, "key", "of", salts=SALTS).where("qs is not null").select("r", F.explode("qs").alias("x"))
+    lists = queries.groupBy("key", list_block(F.col("genome_id")).alias("block")).agg(F.collect_list(F.struct(F.col("genome_id").alias("q"), "cnt")).alias("qs")).select(F.col("key").alias("of"), "qs")
+    held = Scratch(refs.sparkSession, "abundance").keep(refs.select(F.col("genome_id").alias("r"), "key").distinct(), "references")
+    met = hot_left_join(held, lists, "key", "of", held.measured["rows"], salts=SALTS).where("qs is not null").select("r", F.explode("qs").alias("x"))
     return met.groupBy(F.col("x.q").alias("q"), "r").agg(F.count("*").alias("shared"), F.avg("x.cnt").alias("mean_cnt"))
 
 

@@ -10,7 +10,8 @@ from kmerloom.operators.skew import hot_left_join, with_sum_before
 # The ranks of a profile, the letters of lineages, what stands for a missing value, and the field of placement files.
 RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species")
 LINEAGE_PREFIXES = {"d": "domain", "p": "phylum", "c": "class", "o": "order", "f": "family", "g": "genus", "s": "species"}
-MISSING, NO_MATCH, EDGE_FIELD, CODE_NAME = "NA", "==no match==", "edge_num", "Species%03d"
+MISSING, NO_MATCH, EDGE_FIELD, CODE_NAME, CODE = "NA", "==no match==", "edge_num", "Species%03d", "Species[0-9]{3}"
+ACCESSION = r"(GC[AF]_[0-9]+\.[0-9]+)"
 # Depths of low abundances by their whole part.
 POISSON_DEPTHS = (0.0, 0.02, 0.08, 0.69, 1.57, 2.49, 3.41, 4.31, 5.20, 6.08, 6.94)
 
@@ -133,3 +134,40 @@ def labelled(rows: DataFrame, key: str, order: str) -> DataFrame:
     """(key, index, first): a running index over the keys' first occurrences in the order of an integer column; no task sees all keys."""
     firsts = rows.groupBy(key).agg(F.min(order).alias("first")).withColumn("one", F.lit(1).cast("bigint"))
     return with_sum_before(firsts, "one", "first", ties=(key,)).select(key, (F.col("before") + 1).alias("index"), "first")
+
+
+def selection_labels(files: DataFrame, species: DataFrame, wanted: str | None = None, pattern: str = ACCESSION) -> DataFrame:
+    """(place, line): a label for every listed file, ``number<TAB>accession<TAB>species`` where it is chosen, ``0<TAB>NULL`` before it elsewhere.
+
+    ``files`` has place (integer, unique) and name, ``species`` accession and species; an accession counts in both of its spellings
+    (GCA and GCF). Files of unknown accessions and those whose accession was listed before aren't chosen; the number runs over all others. With
+    ``wanted`` only files of that species are chosen, with ``^`` before it only files of others. Raises on a name without accession.
+    """
+    named = species.select("accession", F.regexp_replace("species", r"\s", "_").alias("species"))
+    known = named.unionByName(named.select(F.translate("accession", "AF", "FA").alias("accession"), "species")).groupBy("accession").agg(F.min("species").alias("species")).withColumnRenamed("accession", "of")
+    rows = files.select("place", F.regexp_extract("name", pattern, 1).alias("accession"))
+    if rows.where("accession = '' or accession is null").limit(1).count():
+        raise ValueError("a name without accession")
+    met = hot_left_join(rows, known, "accession", "of")
+    firsts = met.groupBy("accession").agg(F.min("place").alias("place")).withColumnRenamed("accession", "seen")
+    met = met.join(firsts, "place", "left").withColumn("counts", (F.col("species").isNotNull() & F.col("seen").isNotNull()).cast("bigint"))
+    met = with_sum_before(met, "counts", "place")
+    chosen = F.col("counts") == 1
+    if wanted is not None:
+        right = F.col("species") == F.lit(wanted.removeprefix("^"))
+        chosen = chosen & (~right if wanted.startswith("^") else right)
+    number = F.when(chosen, (F.col("before") + 1).cast("string")).otherwise("0\tNULL")
+    return met.select("place", F.concat_ws("\t", number, "accession", "species").alias("line"))
+
+
+def renamed_tree(trees: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """(key, text) of Newick trees with code names replaced: ``names`` has code and name; a code without a name becomes empty.
+
+    ``key`` is unique. A tree is cut at its codes, which meet the names as rows, and put together again.
+    """
+    parts = F.split(text, f"(?<={CODE})|(?={CODE})")
+    cut = trees.select(key, F.posexplode(parts).alias("i", "part"))
+    one = names.groupBy(F.col("code").alias("of")).agg(F.min("name").alias("name"))
+    met = hot_left_join(cut, one, "part", "of").withColumn("part", F.when(F.col("part").rlike(f"^{CODE}$"), F.coalesce("name", F.lit(""))).otherwise(F.col("part")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "")
+    return met.groupBy(key).agg(joined.alias(text))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerloom.functions.kernel import SketchParams
 from kmerloom.functions.scalars import differing_bases, reverse_complement
-from kmerloom.operators import ani, composite, distance, legacy, reports, setops, sketching
+from kmerloom.operators import ani, composite, distance, legacy, pipeline, reports, setops, sketching
 from kmerloom.operators.hierarchy import clean_rank, parent_number
 from kmerloom.plans.tables import table
 from kmerloom.session import Scratch
@@ -244,6 +244,35 @@ def legacy_once(spark, folder):
     return legacy.once_only(sketch_legacy(spark, folder)).select("genome_id", "key")
 
 
+def legacy_frequent(spark, folder):
+    """Short keys that a genome has twice or more."""
+    return legacy.frequent(legacy.legacy_keys(records_of(spark, folder), 4, 4, 1, seed=11), 2)
+
+
+def legacy_quality(spark, folder):
+    """Bases T have a low quality here, so k-mers with one don't count."""
+    records = records_of(spark, folder).withColumn("qual", F.translate("seq", "ACGTacgt", "III#III#"))
+    return legacy.legacy_keys(records, 4, 4, 1, seed=11, quality="qual", least_quality=10)
+
+
+def legacy_by_record(spark, folder):
+    """Keys of every record by itself."""
+    return legacy.legacy_keys(records_of(spark, folder), 8, 4, 1, seed=11, genome="rec_id").withColumnRenamed("genome_id", "rec_id")
+
+
+def legacy_record_kmers(spark, folder):
+    """The records' k-mers out of their keys, each as often as it occurs."""
+    rows = legacy.legacy_kmer(legacy_by_record(spark, folder), 8)
+    return rows.select("rec_id", "kmer", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("cnt"))).alias("copy"))
+
+
+def ani_of_sequences(spark, folder):
+    """From sequences to ranked pairs in one run."""
+    records = records_of(spark, folder)
+    out = pipeline.ani_of_sequences(records.where("genome_id % 50 = 0"), records, fold=4, least_fraction=0.0, least_ani=0.0)
+    return rounded(out.select("q", "r", "xny_ctx", "n_diff_obj", "n_diff_obj_section", "n_mut2_ctx", "ani"), "ani", digits=5)
+
+
 def legacy_kmers(spark, folder):
     return legacy.legacy_kmer(sketch_legacy(spark, folder), 8)
 
@@ -301,7 +330,7 @@ QUERIES = {
     for f in (
         sketch_plain, sketch_patterned, sketch_coden, sketch_records, sketch_repeated, sketch_legacy, reverse_kmers, inverted_index, index_summary, sketch_sizes, set_union, set_unique_union, set_markers,
         set_intersect, set_subtract, set_group_union, set_key_listing, set_combine, conflict_free, dist_similarity, dist_corrected, dist_containment, dist_p_values, dist_nearest, matrix_full,
-        dereplicated, dereplication_codes, merged, index_listing, posting_lists, legacy_once, legacy_kmers, legacy_abundance, ani_features, ani_detail, ani_unassembled, ani_contexts, composition, abundance_vectors, taxonomy_roll_up, error_rate, differing, reversed_sequences,
+        dereplicated, dereplication_codes, merged, index_listing, posting_lists, legacy_once, legacy_frequent, legacy_quality, legacy_by_record, legacy_record_kmers, ani_of_sequences, legacy_kmers, legacy_abundance, ani_features, ani_detail, ani_unassembled, ani_contexts, composition, abundance_vectors, taxonomy_roll_up, error_rate, differing, reversed_sequences,
     )
 } | {f"vector_search_{m}": _search(m) for m in ("l1", "l2", "cosine")}
 QUERIES |= {f"ani_{m}": _detail(m) for m in ("mash", "aaf", "mash_if_far", "aaf_if_far")} | {"ani_direct": _detail(rough=False), "ani_naive": _detail(naive=True), "ani_ranked": _ranked(True), "ani_direct_ranked": _ranked(False)}

@@ -105,6 +105,23 @@ _CODEN_CTX = " | ".join(f"(((u >> {6 * i}) & 15) << {4 * i})" for i in range(11)
 _CODEN_OBJ = " | ".join(f"(((u >> {6 * i + 4}) & 3) << {2 * i})" for i in range(10))
 _LEGACY = f"""WITH {_kmers(16, str((1 << 32) - 1), 0)}, kept_dims AS (SELECT unnest([{", ".join(map(str, sorted(np.flatnonzero(permutation(4, 11) < 4096).tolist())))}]) AS dim),
 l AS (SELECT genome_id, CAST(least(f, r) AS BIGINT) AS key FROM nums), lk AS (SELECT genome_id, key, least(count(*), 65535) AS cnt FROM l SEMI JOIN kept_dims ON dim = (key >> 8) & 65535 GROUP BY 1, 2)"""
+_SHORT = f"""WITH {_kmers(8, "65535", 0)}, dims AS (SELECT unnest([{", ".join(map(str, sorted(np.flatnonzero(permutation(4, 11) < 4096).tolist())))}]) AS dim),
+l AS (SELECT genome_id, CAST(least(f, r) AS BIGINT) AS key FROM nums)"""
+_LEGACY_RECORDS = _LEGACY.replace(_kmers(16, str((1 << 32) - 1), 0), _kmers(16, str((1 << 32) - 1), 0, "rec_id"))
+
+
+def _ani_of_sequences() -> str:
+    """Queries keep contexts with several objects, references don't."""
+    wide, close = _regression(DENOMINATORS, COEFFICIENTS), _regression(DENOMINATORS_95, COEFFICIENTS_95)
+    return f"""WITH {_kmers(32, _CODEN_CONTEXT, 4)}, vq AS (SELECT DISTINCT genome_id, {_CODEN_CTX} AS ctx, CAST({_CODEN_OBJ} AS BIGINT) AS obj FROM kept),
+v AS (SELECT * FROM vq QUALIFY count(*) OVER (PARTITION BY genome_id, ctx) = 1),
+e AS (SELECT a.genome_id AS q, b.genome_id AS r, b.ctx, b.obj, min({_bits("xor(a.obj, b.obj)")}) AS dd FROM vq a JOIN v b ON a.ctx = b.ctx WHERE a.genome_id % 50 = 0 GROUP BY 1, 2, 3, 4),
+f AS (SELECT q, r, count(*) AS xny_ctx, count(*) FILTER (dd > 0) AS n_diff_obj, CAST(sum(dd) AS BIGINT) AS n_diff_obj_section, count(*) FILTER (dd > 1) AS n_mut2_ctx FROM e GROUP BY 1, 2),
+g AS (SELECT *, CAST(xny_ctx AS DOUBLE) AS x, CAST(n_diff_obj AS DOUBLE) AS d, CAST(n_diff_obj_section AS DOUBLE) AS s, CAST(n_mut2_ctx AS DOUBLE) AS m FROM f),
+h AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE greatest(0, CASE WHEN {wide} < 0.05 THEN {close} ELSE {wide} END) END AS dist FROM g)
+SELECT q, r, xny_ctx, n_diff_obj, n_diff_obj_section, n_mut2_ctx, round(1 - dist, 5) AS ani FROM h WHERE CAST(1 - n_diff_obj / xny_ctx / 7 AS FLOAT) >= 0 AND 1 - dist >= 0"""
+
+
 _GREEDY = f"""WITH RECURSIVE {_V}, z AS (SELECT genome_id, count(*) AS size FROM v GROUP BY 1),
 o AS (SELECT a.genome_id AS late, b.genome_id AS early, count(*) AS n FROM v a JOIN v b ON a.ctxobj = b.ctxobj AND b.genome_id < a.genome_id GROUP BY 1, 2),
 j AS (SELECT late, early, n / (a.size + b.size - n) AS j FROM o JOIN z a ON a.genome_id = late JOIN z b ON b.genome_id = early),
@@ -128,6 +145,12 @@ SQL = {
 counted AS (SELECT genome_id, ctx, obj, count(*) AS cnt FROM keyed GROUP BY 1, 2, 3)
 SELECT genome_id, CAST((ctx::HUGEINT << 20) + obj::HUGEINT - CASE WHEN ctx >= 8796093022208 THEN 18446744073709551616::HUGEINT ELSE 0 END AS BIGINT) AS ctxobj, cnt FROM counted QUALIFY count(*) OVER (PARTITION BY genome_id, ctx) = 1""",
     "sketch_legacy": f"{_LEGACY} SELECT * FROM lk",
+    "legacy_frequent": f"{_SHORT} SELECT genome_id, key, least(count(*), 65535) AS cnt FROM l SEMI JOIN dims ON dim = key GROUP BY 1, 2 HAVING count(*) >= 2",
+    "legacy_quality": f"{_SHORT} SELECT genome_id, key, least(count(*), 65535) AS cnt FROM l SEMI JOIN dims ON dim = key GROUP BY 1, 2".replace("upper(s) AS s", "replace(upper(s), 'T', 'N') AS s"),
+    "legacy_by_record": f"{_LEGACY_RECORDS} SELECT genome_id AS rec_id, key, cnt FROM lk",
+    "legacy_record_kmers": f"""{_LEGACY_RECORDS}, t AS (SELECT genome_id AS rec_id, {" || ".join(f"substr('ACGT', CAST((key >> {2 * (15 - i)}) & 3 AS INTEGER) + 1, 1)" for i in range(16))} AS kmer, cnt FROM lk)
+SELECT rec_id, kmer, unnest(range(1, cnt + 1)) AS copy FROM t""",
+    "ani_of_sequences": _ani_of_sequences(),
     "legacy_once": f"{_LEGACY} SELECT genome_id, key FROM lk WHERE cnt = 1",
     "legacy_kmers": f"""{_LEGACY} SELECT *, {" || ".join(f"substr('ACGT', CAST((key >> {2 * (15 - i)}) & 3 AS INTEGER) + 1, 1)" for i in range(16))} AS kmer FROM lk""",
     "legacy_abundance": f"{_LEGACY} SELECT a.genome_id AS q, b.genome_id AS r, count(*) AS shared, round(avg(a.cnt), 6) AS mean_cnt FROM lk a JOIN lk b USING (key) WHERE a.genome_id % 50 = 0 GROUP BY 1, 2",

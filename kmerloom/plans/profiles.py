@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kmerloom.functions.scalars import safe_name
-from kmerloom.operators import composite, distance, reports
+from kmerloom.operators import composite, distance, reports, training
 from kmerloom.plans import genomes_sql as sql
 from kmerloom.plans.genomes import K, asked, keys_of, records_of, rounded
 from kmerloom.plans.tables import table
+from kmerloom.session import Scratch
 
 
 def _composed(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,11 +125,53 @@ def species_depths(spark, folder):
     return rounded(_depths(spark, folder).groupBy("q", "line").agg(F.sum("depth").alias("depth"), F.count("*").alias("refs")), "depth")
 
 
+def selection_labels(spark, folder):
+    """Labels of the listed names, once in full and once without one species."""
+    rows = table(spark, folder, "genomes").select("genome_id", "name", "taxid").where(F.col("name").rlike("[A-Z]{3}_[0-9]+")).groupBy("genome_id").agg(F.min("name").alias("name"), F.min("taxid").alias("taxid"))
+    species = rows.where("taxid is not null").select(F.regexp_extract("name", "([A-Z]{3}_[0-9]+)", 1).alias("accession"), F.format_string("S %d", F.pmod("taxid", F.lit(3))).alias("species"))
+    files = rows.select(F.col("genome_id").cast("bigint").alias("place"), "name")
+    out = [reports.selection_labels(files, species, wanted, "([A-Z]{3}_[0-9]+)").withColumn("way", F.lit(way)) for way, wanted in (("all", None), ("only", "S_1"), ("without", "^S_1"))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def renamed_trees(spark, folder):
+    """Trees of code names, one a record, with the codes of up to 500 taxa replaced."""
+    rows = table(spark, folder, "command_sketch").where("rec_id is not null").select("rec_id").distinct()
+    code = lambda n: F.format_string("Species%03d", F.pmod(n, F.lit(1000)))
+    trees = rows.select("rec_id", F.concat(F.lit("(("), code(F.col("rec_id")), F.lit(":0.1,"), code(F.col("rec_id") * 7), F.lit("):0.25,x:1);")).alias("tree"))
+    names = spark.range(0, 1000, 2).select(code(F.col("id")).alias("code"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    return reports.renamed_tree(trees, "rec_id", "tree", names)
+
+
+def _gold(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold-standard comparisons with an identity above 0.8 and aligned fractions above 0.1, all as fractions."""
+    fraction = lambda c: F.when(~F.isnan(c) & (F.col(c) >= 0), F.when(F.col(c) > 1, F.col(c) / 100).otherwise(F.col(c)))
+    rows = table(spark, folder, "ani_pairs").withColumns({c: fraction(c) for c in ("anim", "qry_align_fraction", "ref_align_fraction")})
+    return rows.where("anim > 0.8 and qry_align_fraction > 0.1 and ref_align_fraction > 0.1 and xny_ctx > 0 and n_diff_obj >= 0 and n_diff_obj_section >= 0 and n_mut2_ctx >= 0")
+
+
+def trained_regression(spark, folder):
+    """The regression fitted to all gold-standard comparisons: rows, and whether it explains more than their mean does."""
+    rows = Scratch(spark, "gold").keep(_gold(spark, folder), "rows")
+    model = training.train_regression(rows, 1 - F.col("anim"), sample_rows=5000, rounds=200)
+    error = 1 - F.col("anim") - training.predicted(rows, model)
+    return rows.agg(F.count("*").alias("used"), (F.sqrt(F.avg(error * error)) < 0.999 * F.stddev_pop("anim")).alias("explains"))
+
+
+def trained_trees(spark, folder):
+    """Boosted trees fitted to the comparisons of four in five hashes, judged on the others."""
+    rows = Scratch(spark, "gold").keep(_gold(spark, folder).withColumn("part", F.pmod(F.xxhash64("qry", "ref"), F.lit(5))), "rows")
+    model = training.train_boosted(rows.where("part > 0"), F.col("anim"), trees=10, depth=4)
+    error = F.col("anim") - F.col("prediction")
+    held = model.transform(rows.where("part = 0").dropna(subset=["xny_ctx"])).agg((F.sqrt(F.avg(error * error)) < F.stddev_pop("anim")).alias("explains"))
+    return rows.agg(F.count("*").alias("used")).crossJoin(held)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         profile_steps, profile_table, profile_offset, profile_lineage, profile_krona, species_names, composition_ranked, metadata_joined, rows_of_listed, ordered_lookup,
-        matrix_symmetric, phylip, placement_edges, labelled_taxa, error_model, safe_names, species_depths,
+        matrix_symmetric, phylip, placement_edges, labelled_taxa, error_model, safe_names, species_depths, selection_labels, renamed_trees, trained_regression, trained_trees,
     )
 }
 
@@ -144,7 +187,22 @@ _TABLE = ", ".join(map(repr, reports.POISSON_DEPTHS))
 _GRID = f"""WITH {sql.PAIRS}, a AS (SELECT genome_id FROM z WHERE genome_id % 50 = 0),
 m AS (SELECT x.genome_id AS q, y.genome_id AS r, coalesce(shared / (q_size + r_size - shared), 0.0) AS value FROM a x CROSS JOIN a y LEFT JOIN p ON p.q = x.genome_id AND p.r = y.genome_id)"""
 
+_GOLD = """gold AS (SELECT CASE WHEN anim > 1 THEN anim / 100 ELSE anim END AS anim, CASE WHEN qry_align_fraction > 1 THEN qry_align_fraction / 100 ELSE qry_align_fraction END AS aq,
+CASE WHEN ref_align_fraction > 1 THEN ref_align_fraction / 100 ELSE ref_align_fraction END AS ar FROM ani_pairs WHERE NOT isnan(anim) AND NOT isnan(qry_align_fraction) AND NOT isnan(ref_align_fraction)
+AND xny_ctx > 0 AND n_diff_obj >= 0 AND n_diff_obj_section >= 0 AND n_mut2_ctx >= 0)"""
+_USED = f"WITH {_GOLD} SELECT count(*) AS used, true AS explains FROM gold WHERE anim > 0.8 AND aq > 0.1 AND ar > 0.1"
 SQL = {
+    "trained_regression": _USED,
+    "trained_trees": _USED,
+    "selection_labels": """WITH r AS (SELECT genome_id AS place, min(name) AS name, min(taxid) AS taxid FROM genomes WHERE regexp_matches(name, '[A-Z]{3}_[0-9]+') GROUP BY 1),
+a AS (SELECT place, regexp_extract(name, '([A-Z]{3}_[0-9]+)', 1) AS acc, 'S_' || (taxid % 3) AS sp FROM r),
+k AS (SELECT acc, min(sp) AS sp FROM (SELECT acc, sp FROM a WHERE sp IS NOT NULL UNION ALL SELECT translate(acc, 'AF', 'FA'), sp FROM a WHERE sp IS NOT NULL) GROUP BY 1),
+m AS (SELECT a.place, a.acc, k.sp, k.sp IS NOT NULL AND row_number() OVER (PARTITION BY a.acc ORDER BY a.place) = 1 AS counts FROM a LEFT JOIN k USING (acc)),
+n AS (SELECT *, sum(CAST(counts AS INTEGER)) OVER (ORDER BY place) AS number FROM m),
+w(way) AS (VALUES ('all'), ('only'), ('without'))
+SELECT CAST(place AS BIGINT) AS place, way, concat_ws(chr(9), CASE WHEN counts AND (way = 'all' OR (way = 'only') = (sp = 'S_1')) THEN CAST(number AS VARCHAR) ELSE '0' || chr(9) || 'NULL' END, acc, sp) AS line FROM n, w""",
+    "renamed_trees": """WITH r AS (SELECT DISTINCT rec_id FROM command_sketch WHERE rec_id IS NOT NULL), c AS (SELECT rec_id, rec_id % 1000 AS a, (rec_id * 7) % 1000 AS b FROM r)
+SELECT rec_id, '((' || CASE WHEN a % 2 = 0 THEN 'n' || a ELSE '' END || ':0.1,' || CASE WHEN b % 2 = 0 THEN 'n' || b ELSE '' END || '):0.25,x:1);' AS tree FROM c""",
     "profile_steps": f"""WITH {sql.COMPOSED}, d AS (SELECT q, r, {_steps(9)} AS depth FROM comp)
 SELECT q, r, round(depth, 6) AS depth, round(100 * depth / sum(depth) OVER (PARTITION BY q), 6) AS percentage FROM d WHERE depth > 0""",
     "profile_table": f"WITH {sql.COMPOSED} SELECT q, r, round(CASE WHEN shared > 6 THEN CASE WHEN pct98_99 > 5 THEN pct98_99 - 3 ELSE ([{_TABLE}])[1 + CAST(floor(pct98_99) AS INTEGER)] END END, 6) AS depth FROM comp",

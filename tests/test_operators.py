@@ -3,11 +3,13 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from kmerloom.functions.kernel import SketchParams, sampled_keys
 from kmerloom.functions.scalars import safe_name
 from kmerloom.operators import ani, composite, distance, legacy, reports, setops, sketching
-from kmerloom.operators.skew import hot_left_join
+from kmerloom.operators import training
+from kmerloom.operators.skew import hot_left_join, with_sum_before
 
 
 def keyed(spark, data):
@@ -222,6 +224,47 @@ def test_reports(spark):
     assert spark.createDataFrame([("a b/c.1",)], "n string").select(safe_name("n")).first()[0] == "a_b_c.1"
 
 
+def test_labels_and_trees(spark):
+    files = spark.createDataFrame([(1, "x/GCA_1.1_a.fna"), (2, "GCF_1.1.fna"), (3, "GCA_1.1 again"), (4, "GCA_9.9"), (5, "GCA_2.1")], "place long, name string")
+    species = spark.createDataFrame([("GCA_1.1", "E coli"), ("GCF_2.1", "B\tsub")], "accession string, species string")
+    get = lambda wanted: [r.line for r in reports.selection_labels(files, species, wanted).orderBy("place").collect()]
+    no = "0\tNULL\t"
+    assert get(None) == ["1\tGCA_1.1\tE_coli", "2\tGCF_1.1\tE_coli", no + "GCA_1.1\tE_coli", no + "GCA_9.9", "3\tGCA_2.1\tB_sub"]
+    assert get("B_sub") == [no + "GCA_1.1\tE_coli", no + "GCF_1.1\tE_coli", no + "GCA_1.1\tE_coli", no + "GCA_9.9", "3\tGCA_2.1\tB_sub"]
+    assert get("^B_sub")[0] == "1\tGCA_1.1\tE_coli" and get("^B_sub")[4] == no + "GCA_2.1\tB_sub"
+    with pytest.raises(ValueError):
+        reports.selection_labels(files.unionByName(spark.createDataFrame([(6, "no")], files.schema)), species)
+    trees = spark.createDataFrame([(1, "(Species001:0.1,(Species002:1,Species001:2)Species009);"), (2, "(a,b);")], "k long, t string")
+    names = spark.createDataFrame([("Species001", "one"), ("Species002", "two"), ("Species002", "two b")], "code string, name string")
+    assert {r.k: r.t for r in reports.renamed_tree(trees, "k", "t", names).collect()} == {1: "(one:0.1,(two:1,one:2));", 2: "(a,b);"}
+
+
+def test_training_recovers_a_model(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.stack([rng.integers(200, 3000, 900), *(rng.integers(0, 400, 900) for _ in range(3))], axis=1).astype(float)
+    truth = {"denominators": np.array([[1, 1.2, 0.9, 1.1], [1, 0.8, 1.3, 1], [1.1, 1, 1, 0.7]]), "coefficients": np.array([0.1, 1e-5, 2e-5, 1e-5, 3e-5, 20, -9, 5, *[0.3] * 9])}
+    y = training.design(x, truth["denominators"].ravel()) @ truth["coefficients"] + rng.normal(0, 1e-3, 900)
+    rows = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)] + [(None, 1.0, 1.0, 1.0, 0.5)], ", ".join(f"{c} double" for c in (*training.FEATURES, "d")))
+    model = training.train_regression(rows, rows.d, sample_rows=400, rounds=60)
+    assert model["rows"] == 900 and model["sigma"] < 1.5e-3
+    error = rows.dropna().select(F.stddev(training.predicted(rows, model) - rows.d)).first()[0]
+    assert error < 1.5e-3
+    with pytest.raises(ValueError):
+        training.train_regression(rows.limit(5), rows.d)
+    assert abs(training.simplex_search(lambda p: (p[0] - 3) ** 2 + (p[1] + 1) ** 2, np.zeros(2), 500) - [3, -1]).max() < 1e-2
+
+
+def test_running_sums_cross_the_runs(spark):
+    rnd = random.Random(6)
+    rows = [(g, o, rnd.randrange(9)) for g in "ab" for o in rnd.sample(range(-50, 200), 80)]
+    df = spark.createDataFrame(rows, "g string, o long, v long")
+    got = {(r.g, r.o): r.before for r in with_sum_before(df, "v", "o", ("g",), width=16).collect()}
+    assert got == {(g, o): sum(v for h, p, v in rows if h == g and p < o) for g, o, _ in rows}
+    assert with_sum_before(df.where("g = 'a'"), "v", "o", width=7).count() == 80
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "genome_id long, ctxobj long, cnt long")
     assert distance.sized_overlaps(empty, empty).count() == 0
