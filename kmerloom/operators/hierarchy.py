@@ -57,7 +57,7 @@ def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", path
     peeled: list[DataFrame] = []
     while left.measured["rows"]:
         chains = _pendant_chains(scratch, left)
-        if not chains.measured["rows"]:
+        if chains is None:
             break
         tops = chains.groupBy("chain").agg(F.max(F.struct("hops", "parent", "size")).alias("top")).select("top.parent", "top.size")
         sent = tops.where("parent is not null").groupBy("parent").agg(F.sum("size").alias("sent")).withColumnRenamed("parent", "to")
@@ -73,33 +73,34 @@ def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent", path
     return known
 
 
-def _pendant_chains(scratch: Scratch, left: DataFrame) -> DataFrame:
-    """(node, parent, mark, chain, hops, size): every leaf and only-child ancestor of a leaf; chain is the leaf."""
+def _pendant_chains(scratch: Scratch, left: DataFrame) -> DataFrame | None:
+    """(node, parent, mark, chain, hops, size): every leaf and only-child ancestor of a leaf; chain is the leaf. None without leaves.
+
+    A node with one child steps to it; leaves and nodes with several children stand still. Doubling the steps leads every run to
+    the leaf or the branching below it, and sums the weights on the way.
+    """
     kids = left.where("parent is not null").groupBy("parent").agg(F.count("*").alias("kids"), F.max("node").alias("only")).withColumnRenamed("parent", "of")
-    state = left.join(kids, left["node"] == kids["of"], "left").select("node", "parent", "mark", "weight", F.coalesce("kids", F.lit(0)).alias("kids"), "only")
-    state = scratch.keep(state.where("kids < 2"), "state")
-    leaves = state.where("kids = 0").select("node", "parent", "mark", F.col("node").alias("chain"), F.lit(0).cast("bigint").alias("hops"), F.col("weight").alias("size"))
-    below = state.select(F.col("node").alias("next"), F.col("kids").alias("next_kids"), F.col("weight").alias("next_weight"))
-    start = (
-        state.where("kids = 1")
-        .join(below, F.col("only") == F.col("next"), "left")
-        .select(
-            "node",
-            "parent",
-            "mark",
-            F.col("only").alias("next"),
-            F.lit(1).cast("bigint").alias("hops"),
-            (F.col("weight") + F.when(F.col("next_kids") == 0, F.col("next_weight")).otherwise(0)).alias("size"),
-            F.when(F.col("next_kids") == 0, True).when(F.col("next_kids") == 1, F.lit(None).cast("boolean")).otherwise(False).alias("leaf"),
-            F.coalesce(F.col("next_kids") != 1, F.lit(True)).alias("done"),
-        )
+    single = F.coalesce(F.col("kids") == 1, F.lit(False))
+    start = left.join(kids, left["node"] == kids["of"], "left").select(
+        "node",
+        "parent",
+        "mark",
+        F.when(single, F.col("only")).otherwise(F.col("node")).alias("next"),
+        single.cast("bigint").alias("hops"),
+        F.col("weight").alias("size"),
+        F.when(F.col("kids").isNull(), True).when(~single, False).alias("leaf"),
+        (~single).alias("done"),
     )
-    done, running = scratch.split(start, "done", "ranks")
+    done, running = scratch.split(start, "done", "ranks", leaves=F.count_if("leaf"))
+    if not done.measured["leaves"]:
+        scratch.drop(done, running)
+        return None
+    parts = [done]
     while before := running.measured["rows"]:
         table = done.unionByName(running).select(F.col("node").alias("at"), F.col("next").alias("to"), F.col("hops").alias("more"), F.col("size").alias("add"), F.col("leaf").alias("is_leaf"))
         step = running.withColumn("done", F.lit(False))
         for _ in range(2):  # two steps in one job, each doubling the length
-            ends = F.coalesce(F.col("done"), F.lit(True))
+            ends = F.col("done")
             step = step.join(table, (step["next"] == table["at"]) & ~step["done"], "left").select(
                 "node",
                 "parent",
@@ -113,13 +114,13 @@ def _pendant_chains(scratch: Scratch, left: DataFrame) -> DataFrame:
         passed = running
         ended, running = scratch.split(step, "done", "ranks")
         scratch.drop(passed)
+        parts.append(ended)
         done = done.unionByName(ended)
         if running.measured["rows"] == before:
             break  # no run ended, so all that are left go round a loop
-    inner = done.where("leaf").select("node", "parent", "mark", F.col("next").alias("chain"), "hops", "size")
-    kept = scratch.keep(leaves.unionByName(inner), "chains")
-    scratch.drop(state)
-    return kept
+    chains = scratch.keep(done.where("leaf").select("node", "parent", "mark", F.col("next").alias("chain"), "hops", "size"), "chains")
+    scratch.drop(*parts, running)
+    return chains
 
 
 def _loops(scratch: Scratch, rest: DataFrame) -> DataFrame:
