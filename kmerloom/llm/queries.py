@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kmerloom.llm import oracle
 from kmerloom.llm.components import connected_groups
@@ -11,7 +11,7 @@ from kmerloom.llm.mixing import mixture, reached_shares
 from kmerloom.llm.overlap_sizes import contained_pairs, overlap_sizes, register_sketches
 from kmerloom.llm.packing import pack
 from kmerloom.llm.sentences import sentences
-from kmerloom.llm.similar_pairs import similar_pairs
+from kmerloom.llm.similar_pairs import class_links, similar_classes, similar_pairs
 from kmerloom.llm.splitting import split_oversized
 from kmerloom.llm.tokens import with_token_counts
 from kmerloom.session import Scratch
@@ -69,6 +69,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").cast("int").alias("genome_a"), F.col("b").cast("int").alias("genome_b"))
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every genome that has values, with the smallest genome of equal values and the number of other such classes that are similar."""
+    linked = class_links(*similar_classes(_values(spark, folder), "genome", "value", 0.5))
+    return linked.select(F.col("r").cast("int").alias("genome_id"), F.col("rep").cast("int").alias("class_id"), "links")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Cuts of the sequence records with more than 5,000 letters."""
     return split_oversized(_table(spark, folder, "command_sketch"), "rec_id", "seq").drop("piece")
@@ -145,10 +151,21 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(_table(spark, folder, "documents"), "doc_id", "text").where("followed").select("doc_id", "end_char")
 
 
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """For every message, whether its sentences stand in order without overlap and are what stands at their places."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = sentences(docs, "doc_id", "text", with_text=True)
+    before = F.lag("end_char").over(Window.partitionBy("doc_id").orderBy("sentence_no"))
+    right = found.withColumn("ordered", (F.coalesce(before, F.lit(-1)) < F.col("start_char")) & (F.col("start_char") <= F.col("end_char")))
+    right = right.join(docs, "doc_id").withColumn("same", F.expr("substring(text, start_char + 1, end_char - start_char + 1)") == F.col("sentence"))
+    flags = right.groupBy("doc_id").agg(F.bool_and("ordered").alias("in_order"), F.bool_and("same").alias("texts_match"))
+    return docs.select("doc_id").join(flags, "doc_id", "left").fillna(True, ["in_order", "texts_match"])
+
+
 def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """All sentences with their texts."""
     return sentences(_table(spark, folder, "documents"), "doc_id", "text", with_text=True).drop("followed")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p2_checked": p2_checked, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p6_steered": p6_steered, "p6_kept": p6_kept, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_kept": p7_kept, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_overlaps": p2_overlaps, "p2_checked": p2_checked, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_containers": p6_containers, "p6_steered": p6_steered, "p6_kept": p6_kept, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_kept": p7_kept, "p8_found": p8_found, "p8_sentences": p8_sentences, "p8_kept": p8_kept}
 SQL = oracle.SQL

@@ -158,15 +158,35 @@ def _brute(coordinates: int, threshold: float, least: float):
     return run
 
 
-def similar_pairs(
-    rows: DataFrame, record: str, value: str, threshold: float = 0.5, trees: int | None = None, coordinates: int = 256, node_limit: int = 100, max_depth: int = 6, chunk_values: int = 1 << 20, seed: int = 1
-) -> DataFrame:
+def similar_pairs(rows: DataFrame, record: str, value: str, threshold: float = 0.5, **options) -> DataFrame:
     """(a, b, similarity), a < b: all pairs of records whose sets have a Jaccard similarity of at least ``threshold``.
 
+    These are the pairs of ``similar_classes`` written out for all members, copies with each other included: a set that occurs k
+    times makes k (k - 1) / 2 rows. Where that is too much, use the classes.
+    """
+    similar, members = similar_classes(rows, record, value, threshold, **options)
+    m1, m2 = members.select(F.col("rep").alias("a"), F.col("r").alias("r1")), members.select(F.col("rep").alias("b"), F.col("r").alias("r2"))
+    between = similar.join(m1, "a").join(m2, "b").select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"), "similarity")
+    copies = m1.join(m2, m1["a"] == m2["b"]).where("r1 < r2").select(F.col("r1").alias("a"), F.col("r2").alias("b"), F.lit(1.0).alias("similarity"))
+    return between.unionByName(copies)
+
+
+def class_links(similar: DataFrame, members: DataFrame) -> DataFrame:
+    """(r, rep, links): every record with its class and the number of other classes that it is similar to."""
+    ends = similar.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count("*").alias("links"))
+    return hot_left_join(members, ends, "rep", "of").select("r", "rep", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
+def similar_classes(
+    rows: DataFrame, record: str, value: str, threshold: float = 0.5, trees: int | None = None, coordinates: int = 256, node_limit: int = 100, max_depth: int = 6, chunk_values: int = 1 << 20, seed: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """((a, b, similarity), (r, rep)): similar pairs of representatives, a < b, and the members of each class of equal sets.
+
     ``rows`` holds one row per value of a record, both integers. Rows with a null in either column hold no value, repeated
-    rows count once, records without values are in no pair, other columns are ignored. A similarity of exactly
-    ``threshold`` counts. ``coordinates`` is a power of two, ``trees`` follows from it and ``max_depth`` unless given. For pairs between two tables, give the union of both and
-    keep the pairs between them. Sets above ``chunk_values`` values are held in several rows by hash of the value.
+    rows count once, records without values are in no class, other columns are ignored. The smallest record of equal sets represents
+    them. A similarity of exactly ``threshold`` counts. ``coordinates`` is a power of two, ``trees`` follows from it and ``max_depth``
+    unless given. For pairs between two tables, give the union of both and keep the pairs between them. Sets above
+    ``chunk_values`` values are held in several rows by hash of the value.
     """
     trees = trees or trees_needed(threshold, coordinates, max_depth)
     scratch = Scratch(rows.sparkSession, "pairs")
@@ -192,11 +212,7 @@ def similar_pairs(
         common = common.join(sizes.select(F.col("r").alias(of), F.col("size").alias(f"size_{of}")), of)
     union = F.col("size_a") + F.col("size_b") - F.col("n")
     similar = common.where(F.col("n") >= threshold * union).select("a", "b", (F.col("n") / union).alias("similarity"))
-    similar = scratch.keep(similar, "similar")
-    m1, m2 = members.select(F.col("rep").alias("a"), F.col("r").alias("r1")), members.select(F.col("rep").alias("b"), F.col("r").alias("r2"))
-    between = similar.join(m1, "a").join(m2, "b").select(F.least("r1", "r2").alias("a"), F.greatest("r1", "r2").alias("b"), "similarity")
-    copies = m1.join(m2, m1["a"] == m2["b"]).where("r1 < r2").select(F.col("r1").alias("a"), F.col("r2").alias("b"), F.lit(1.0).alias("similarity"))
-    return between.unionByName(copies)
+    return scratch.keep(similar, "similar"), members
 
 
 def _candidates(scratch: Scratch, reps: DataFrame, threshold: float, trees: int, coordinates: int, node_limit: int, max_depth: int, seed: int) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from kmerloom.llm.similar_pairs import missed, similar_pairs, trees_needed
+from kmerloom.llm.similar_pairs import class_links, missed, similar_classes, similar_pairs, trees_needed
 
 
 def sets():
@@ -31,6 +31,15 @@ def test_against_brute_force(spark, options):
     assert {(r.a, r.b): round(r.similarity, 9) for r in got.collect()} == {k: round(v, 9) for k, v in brute(0.5).items()}
 
 
+def test_classes_of_equal_sets(spark):
+    s = {g: frozenset(x) for g, x in sets().items()}
+    rep = {g: min(h for h in s if s[h] == s[g]) for g in s}
+    links = {r: sum(2 * len(s[r] & s[o]) >= len(s[r] | s[o]) for o in set(rep.values()) if o != r) for r in rep.values()}
+    pairs, members = similar_classes(spark.createDataFrame([(g, x) for g, xs in sets().items() for x in xs], "r long, v long"), "r", "v", 0.5)
+    assert {(r.r, r.rep, r.links) for r in class_links(pairs, members).collect()} == {(g, rep[g], links[rep[g]]) for g in s}
+    assert rep[900] == rep[901] == rep[0] == 0
+
+
 def test_empty(spark):
     assert similar_pairs(spark.createDataFrame([], "r long, v long"), "r", "v").count() == 0
 
