@@ -187,8 +187,8 @@ def test_hot_left_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(500)] + [(k, k) for k in range(2, 40)] + [(None, 1)], "k long, v long")
     right = spark.createDataFrame([(k, f"r{k}") for k in range(30)], "key long, name string")
     want = sorted((k, v, f"r{k}" if k is not None and k < 30 else None) for k, v in [(1, i) for i in range(500)] + [(k, k) for k in range(2, 40)] + [(None, 1)] if k is not None)
-    for rows, salts in ((None, 0), (539, 0), (None, 4)):
-        got = [tuple(r) for r in hot_left_join(left, right, "k", "key", rows, hot_share=0.1, salts=salts).collect()]
+    for rows, salts, least in ((None, 0, 0), (539, 0, 0), (None, 4, 0), (539, 0, 10_000)):
+        got = [tuple(r) for r in hot_left_join(left, right, "k", "key", rows, hot_share=0.1, salts=salts, hot_rows=least).collect()]
         assert sorted(x for x in got if x[0] is not None) == want and (None, 1, None) in got
 
 
