@@ -96,7 +96,7 @@ def _chain_ends(scratch: Scratch, light: DataFrame) -> DataFrame:
     steps = light.select("vertex", F.explode(F.expr("if(degree = 2, array(low, high), array(low))")).alias("via"))
     two = F.col("n") == 2
     # all leaves of a hub step to it
-    start = hot_left_join(steps, ahead, "via", "at").select(
+    start = hot_left_join(steps, ahead, "via", "at", 2 * light.measured["rows"]).select(
         "vertex",
         "via",
         F.when(two, F.col("via")).otherwise(F.col("vertex")).alias("to"),
