@@ -49,8 +49,11 @@ def _numbered(keys: DataFrame) -> DataFrame:
 
 
 def _renumbered(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """Keys of a folder with the ids that its names hold."""
-    return keys.join(names, "genome_id").withColumn("genome_id", F.col("name").cast("bigint")).select("genome_id", "ctxobj", "cnt")
+    """Keys of a folder with the ids that its names hold.
+
+    The names came through the driver. The keys must not: Spark takes them for as small as the list of genomes that they are read by.
+    """
+    return keys.join(F.broadcast(names), "genome_id").withColumn("genome_id", F.col("name").cast("bigint")).select("genome_id", "ctxobj", "cnt")
 
 
 def files_native(spark, folder):
@@ -63,7 +66,7 @@ def files_native(spark, folder):
 
 def files_older(spark, folder):
     """The older sampling as an older sketch folder."""
-    keys, at = sketch_legacy(spark, folder), _folder(spark, "older")
+    keys, at = Scratch(spark, "files").keep(sketch_legacy(spark, folder), "keys"), _folder(spark, "older")
     binary.write_old_sketch(keys, _numbered(keys), 16, 1, 11, at)
     back, names, _ = binary.read_sketch_folder(spark, at, 11)
     return _renumbered(back, names).withColumnRenamed("ctxobj", "key")
