@@ -58,7 +58,7 @@ def _renumbered(keys: DataFrame, names: DataFrame) -> DataFrame:
 
 def files_native(spark, folder):
     """The sketch table as a native sketch folder."""
-    keys, at = keys_of(spark, folder), _folder(spark, "native")
+    keys, at = Scratch(spark, "files").keep(keys_of(spark, folder), "keys"), _folder(spark, "native")
     binary.write_binary_sketch(keys, _numbered(keys), CODEN, at)
     back, names, _ = binary.read_sketch_folder(spark, at, CODEN.hash_id)
     return _renumbered(back, names)

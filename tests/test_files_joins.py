@@ -17,7 +17,7 @@ def under_broadcasts(plan: str) -> str:
     return "\n".join(kept)
 
 
-@pytest.mark.parametrize("name", ["files_older"])
+@pytest.mark.parametrize("name", ["files_older", "files_native"])
 def test_keys_are_not_broadcast(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
