@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["ani_direct_ranked"])
+@pytest.mark.parametrize("name", ["ani_direct_ranked", "ani_mash_if_far"])
 def test_hot_context(spark, folder, name):
     began = time.time()
     got = QUERIES[name](spark, folder).collect()
