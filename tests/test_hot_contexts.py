@@ -24,7 +24,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["ani_direct_ranked", "ani_mash_if_far", "ani_ranked", "ani_aaf", "ani_detail", "ani_naive", "ani_unassembled", "ani_aaf_if_far", "ani_direct"])
+@pytest.mark.parametrize("name", ["ani_direct_ranked", "ani_mash_if_far", "ani_ranked", "ani_aaf", "ani_detail", "ani_naive", "ani_unassembled", "ani_aaf_if_far", "ani_direct", "ani_mash"])
 def test_hot_context(spark, folder, name):
     began = time.time()
     got = QUERIES[name](spark, folder).collect()
