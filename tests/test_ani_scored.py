@@ -20,7 +20,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["ani_ranked", "ani_aaf", "ani_detail", "ani_naive", "ani_unassembled", "ani_aaf_if_far", "ani_direct"])
+@pytest.mark.parametrize("name", ["ani_ranked", "ani_aaf", "ani_detail", "ani_naive", "ani_unassembled", "ani_aaf_if_far", "ani_direct", "ani_mash"])
 def test_pairs_come_scored(spark, folder, name):
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # else code is generated later
     try:
