@@ -44,3 +44,14 @@ def test_arrays_as_columns(spark):
     want = np.array([tuple(r) for r in rows.select(*cols).collect()])
     got = distances.model(x, d, s, m), distances.naive(x, d, s), distances.mash(x, a, b, 22), distances.aaf(x, a, b, 22)
     np.testing.assert_allclose(np.stack(got, 1), want, rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["ani_unassembled", "ani_mash", "ani_detail"])
+def test_pairs_come_rounded(spark, folder, name):
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_halves_go_away_from_zero():
+    assert distances.rounded(np.float32([1 / 64, 3 / 64, -1 / 64, -1e-9, 0.1]), 5).tolist() == [0.01563, 0.04688, -0.01563, 0.0, 0.1]
+    assert not np.signbit(distances.rounded(np.array([-1e-9]), 5)).any()
