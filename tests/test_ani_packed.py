@@ -68,3 +68,18 @@ def test_no_rows_on_a_side():
     none, some = (np.empty((3, 0), np.int64), np.array([[1, 1], [0, 2], [5, 6]]))
     for left, right in ((none, some), (some, none), (none, none), (some, some + [[0], [7], [0]])):
         assert [len(x) for x in contexts.compared(left, right)] == [0] * 8
+
+
+def test_pairs_are_finished_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(contexts, "STEP", 500)
+    rng = np.random.default_rng(10)
+    queries, refs = (np.stack([rng.integers(0, n, 2000), rng.integers(0, 30, 2000), rng.integers(0, 64, 2000)]) for n in (40, 60))
+    seen = []
+
+    def finish(*columns):
+        seen.append(len(columns[0]))
+        return [columns[0], columns[1] * 2, columns[2] / 2]
+
+    got, want = contexts.compared(queries, refs, finish=finish), contexts.compared(queries, refs)
+    assert max(seen) < sum(seen) / 10 and sum(seen) == len(want[0]) > 1000
+    assert [x.tolist() for x in got] == [x.tolist() for x in (want[0], want[1] * 2, want[2] / 2)]
